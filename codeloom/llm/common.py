@@ -35,6 +35,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder with its lineage cut; survives lost executors."""
     spark = df.sparkSession
