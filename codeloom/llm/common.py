@@ -51,13 +51,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of df's size; for file scans the size of the files read."""
-    try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception as broken:  # a statistics bug must not stop a job; the caller clamps the result
-        if "Py4J" not in type(broken).__name__:
-            raise
-        return 1 << 30
-    return size
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def buckets_for(df: DataFrame, per_bucket: int = BUCKET_BYTES, most: int = 1 << 24) -> int:
