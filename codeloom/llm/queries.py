@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import media, packing, sharding, simhash, substring_dedup, suffix_dedup, token_counts
+from . import media, packing, pii, sharding, simhash, substring_dedup, suffix_dedup, token_counts
 from .common import fresh_path, table
 
 
@@ -43,6 +43,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents")).drop("redacted")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -55,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_media": op5_media,
         "op6_substring_dedup": op6_substring_dedup,
         "op8_sharding": op8_sharding,
+        "op9_personal_data": op9_personal_data,
         "op10_packing": op10_packing,
     }
 
