@@ -61,3 +61,20 @@ def buckets_for(df: DataFrame, per_bucket: int = BUCKET_BYTES, most: int = 1 <<
 
 def hex16(column: Column) -> Column:
     return F.lower(F.lpad(F.hex(column), 16, "0"))
+
+
+KEY = "_row_key"
+#: Keys that are broadcast at most (8 bytes each); more are joined by an exchange.
+BROADCAST_KEYS = 500_000
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with KEY, a hash of doc_id and text that equal rows share; nulls have keys too."""
+    return docs.withColumn(KEY, F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string")))
+
+
+def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """keyed docs less the rows whose KEY is in keys(doc_id), with KEY dropped. Few keys are broadcast, which leaves the texts where they are."""
+    gone = cut(keys.select(F.col("doc_id").alias(KEY)).distinct())
+    few = gone.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return docs.join(F.broadcast(gone) if few else gone, KEY, "left_anti").drop(KEY)

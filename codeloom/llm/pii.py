@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -242,3 +243,19 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return texts(docs).mapInArrow(run, fields)
+
+
+def redact_texts(docs: DataFrame) -> DataFrame:
+    """docs(text, ...) with the same columns and rows, its texts redacted; a null text stays null, n_chars follows if it is there."""
+    fitted = model()
+
+    @F.pandas_udf("string")
+    def clean(text: pd.Series) -> pd.Series:
+        out = []
+        for t in text:
+            base = base_spans(t) if t else []
+            out.append(redacted(t, base + added_spans(t, base, *fitted)) if t else t)
+        return pd.Series(out, dtype=object)
+
+    docs = docs.withColumn("text", clean(docs["text"].cast("string")))
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import media, packing, pii, sharding, simhash, substring_dedup, suffix_dedup, token_counts
+from . import decontaminate, langid, media, packing, pii, sharding, simhash, substring_dedup, suffix_dedup, token_counts
 from .common import fresh_path, table
 
 
@@ -29,6 +29,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_pages(table(spark, sf_dir, "pages"), langid.fit(table(spark, sf_dir, "documents")))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.histogram_shards(table(spark, sf_dir, "documents"), 24)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -48,7 +56,7 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")).drop("loss_tokens")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -56,8 +64,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": op1_simhash,
         "op2_token_counts": op2_token_counts,
         "op3_suffix_dedup": op3_suffix_dedup,
+        "op4_decontamination": op4_decontamination,
         "op5_media": op5_media,
         "op6_substring_dedup": op6_substring_dedup,
+        "op7_language_id": op7_language_id,
         "op8_sharding": op8_sharding,
         "op9_personal_data": op9_personal_data,
         "op10_packing": op10_packing,
