@@ -8,8 +8,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Bytes of text that one group of a grouped Python stage holds at most on average.
-BUCKET_BYTES = 6 << 20
+#: Bytes of (compressed) input whose texts one group of a grouped Python stage holds on average.
+BUCKET_BYTES = 5 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

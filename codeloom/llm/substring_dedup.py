@@ -61,8 +61,8 @@ def count_min(held: DataFrame, spec: Spec, bits: int) -> list[np.ndarray]:
 
 def _prefilter(spec: Spec, most: int):
     def build(held: DataFrame, buckets: int):
-        # A bucket of 6 MB has some 60,000 anchors; eight cells for each keep the overestimates to a few per cent.
-        bits = max(16, min(most, (buckets * 60_000 * 8).bit_length()))
+        # A bucket of 2.5 MB has some 40,000 anchors; eight cells for each keep the overestimates to a few per cent.
+        bits = max(16, min(most, (buckets * 40_000 * 8).bit_length()))
         sketch = held.sparkSession.sparkContext.broadcast(count_min(held, spec, bits))
 
         def keep(hashes: np.ndarray) -> np.ndarray:

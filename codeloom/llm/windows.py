@@ -31,7 +31,7 @@ from .common import buckets_for, cut, texts
 
 HOT = 20_000
 #: Symbols that are searched for anchors at once, and contexts that are classed at once.
-PART, CHUNK = 1 << 20, 50_000
+PART, CHUNK = 1 << 18, 20_000
 _NULL = -(1 << 63)
 _POSITION = np.uint64((1 << 28) - 1)
 _TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -245,10 +245,11 @@ _ROW, _SPLIT, _RUN = (
 
 def _contexts(bucket_id: int, bucket: Bucket, spec: Spec, light: np.ndarray, heavy: np.ndarray, ranges: int) -> pa.Table:
     """The surroundings of repeated anchors, and the runs that repeat inside the bucket."""
-    rows, contexts, splits, runs = [], [], [], []
+    rows, contexts, splits, runs = [np.zeros(0, _ROW)], [np.zeros((0, spec.width), spec.type)], [], []
     seen: dict[bytes, int] = {}
     wanted = np.sort(np.r_[light, heavy])
     ids = np.array(bucket.ids, np.int64)
+    column = np.arange(spec.width)
     for of, symbols, starts, ends in _parts(bucket, spec):
         at, low, high, hashes = anchors(symbols, ends, spec)
         chosen = np.isin(hashes, wanted)
@@ -256,46 +257,47 @@ def _contexts(bucket_id: int, bucket: Bucket, spec: Spec, light: np.ndarray, hea
         if not len(at):
             continue
         text = np.searchsorted(starts, at, "right") - 1
-        row, begin = of[text], starts[text]
+        place = np.empty(len(at), _ROW)
+        place["hash"], place["doc"], place["row"], place["at"] = hashes, ids[of[text]], of[text], at - starts[text]
+        place["low"], place["high"] = at - high, at - low
+        hot = np.isin(hashes, heavy) if len(heavy) else np.zeros(len(at), bool)
+        for n in np.nonzero(hot)[0].tolist():
+            doc, row, first = int(place["doc"][n]), int(place["row"][n]), int(starts[text[n]])
+            for p in range(int(low[n]), int(high[n]) + 1):
+                key = hashlib.blake2b(symbols[p : p + spec.window].tobytes(), digest_size=16).digest()
+                if key in seen and (not spec.strict or seen[key] < doc):
+                    runs.append((row, p - first, p - first + spec.window))
+                else:
+                    seen.setdefault(key, doc)
+                    splits.append((*np.frombuffer(key, "<u8").tolist(), doc, row, p - first))
         padded = np.concatenate([np.zeros(spec.left, spec.type), symbols, np.zeros(spec.window, spec.type)])
         view = np.lib.stride_tricks.sliding_window_view(padded, spec.width)
-        hot = np.isin(hashes, heavy) if len(heavy) else np.zeros(len(at), bool)
-        for a in range(0, len(at), CHUNK):
-            part = slice(a, a + CHUNK)
-            around = view[at[part]].copy()
-            column = np.arange(spec.width)
-            outside = (column < (spec.left - (at[part] - low[part]))[:, None]) | (column >= (spec.left + high[part] - at[part] + spec.window)[:, None])
-            around[outside] = 0
-            for k in range(len(around)):
-                n = a + k
-                doc, first = int(ids[row[n]]), int(begin[n])
-                if hot[n]:
-                    for p in range(int(low[n]), int(high[n]) + 1):
-                        key = hashlib.blake2b(symbols[p : p + spec.window].tobytes(), digest_size=16).digest()
-                        known = seen.setdefault(key, doc)
-                        if known is not doc and (not spec.strict or known < doc):
-                            runs.append((row[n], p - first, p - first + spec.window))
-                        else:
-                            splits.append((*np.frombuffer(key, "<u8"), doc, row[n], p - first))
-                    continue
-                place = (hashes[n], doc, row[n], at[n] - first, at[n] - high[n], at[n] - low[n])
-                key = bytes(place[4:]) + around[k].tobytes()
-                known = seen.get(key)
-                if known is None:
-                    seen[key] = doc
-                elif not spec.strict or known < doc:
-                    runs.append((row[n], low[n] - first, high[n] - first + spec.window))
-                    continue
-                rows.append(place)
-                contexts.append(key[2:])
-    return _pack(bucket_id, np.array(rows, _ROW), contexts, np.array(splits, _SPLIT), _merged(np.array(runs, _RUN)), spec, ranges)
-
-
-def _pack(bucket: int, rows: np.ndarray, contexts: list[bytes], splits: np.ndarray, runs: np.ndarray, spec: Spec, ranges: int) -> pa.Table:
+        size = spec.width * spec.type.itemsize
+        calm = np.nonzero(~hot)[0]
+        for a in range(0, len(calm), CHUNK):
+            which = calm[a : a + CHUNK]
+            part = place[which]
+            around = view[at[which]].copy()
+            lows, highs = part["low"].astype(int), part["high"].astype(int)
+            around[(column < (spec.left - highs)[:, None]) | (column >= (spec.left - lows + spec.window)[:, None])] = 0
+            raw, kept = around.tobytes(), []
+            for k, (doc, row, x, lo, hi) in enumerate(zip(*(v.tolist() for v in (part["doc"], part["row"], part["at"], lows, highs)))):
+                key = hashlib.blake2b(raw[k * size : k * size + size] + bytes((lo, hi)), digest_size=16).digest()
+                if key in seen and (not spec.strict or seen[key] < doc):
+                    runs.append((row, x - hi, x - lo + spec.window))
+                else:
+                    seen.setdefault(key, doc)
+                    kept.append(k)
+            rows.append(part[kept])
+            contexts.append(around[kept])
+    return _pack(bucket_id, np.concatenate(rows), np.concatenate(contexts), np.array(splits, _SPLIT), _merged(np.array(runs, _RUN)), ranges)
+
+
+def _pack(bucket: int, rows: np.ndarray, contexts: np.ndarray, splits: np.ndarray, runs: np.ndarray, ranges: int) -> pa.Table:
     pack, out = zstandard.ZstdCompressor(level=1), []
     if len(rows):
         for r, part, which in _split_by(_range_of(rows["hash"], ranges), rows, np.arange(len(rows))):
-            out.append((r, bucket, len(part), 0, 0, pack.compress(part.tobytes() + b"".join(contexts[k] for k in which))))
+            out.append((r, bucket, len(part), 0, 0, pack.compress(part.tobytes() + contexts[which].tobytes())))
     if len(splits):
         for r, part in _split_by(_range_of(splits["key"], ranges), splits):
             out.append((r, bucket, 0, len(part), 0, pack.compress(part.tobytes())))
