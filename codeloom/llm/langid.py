@@ -18,6 +18,8 @@ SAMPLE, LONGEST = 3000, 20_000
 CELLS = 1 << 15
 #: Trigrams beyond which a text gives no more evidence, since neighbours aren't independent.
 EVIDENCE = 120
+#: Trigrams below which an odd text isn't taken for one without a language: its declaration and host decide.
+FEW = 10
 #: Pseudo-rows that a level of the prior lends to the one below it.
 SMOOTHING = 5.0
 #: Share of rows whose declared language may be anything.
@@ -65,7 +67,7 @@ def text_evidence(rows: DataFrame, model: Model) -> DataFrame:
     """rows(id, text, declared, suffix, domain, host) -> the same without text, with evidence array<double> and typical boolean.
 
     evidence is each language's log-likelihood, tempered to EVIDENCE trigrams; typical is false for a text
-    without letters and for one that no language explains.
+    without letters and for one of FEW trigrams or more that no language explains.
     """
     fields = "id long, declared string, suffix string, domain string, host string, evidence array<double>, typical boolean"
     schema = pa.schema([("id", pa.int64()), *((n, pa.string()) for n in ("declared", "suffix", "domain", "host")), ("evidence", pa.list_(pa.float64())), ("typical", pa.bool_())])
@@ -78,7 +80,7 @@ def text_evidence(rows: DataFrame, model: Model) -> DataFrame:
                 n = len(cells)
                 total = model.table[:, cells].sum(axis=1, dtype=np.float64) if n else np.zeros(len(model.languages))
                 evidence.append((total * (min(n, EVIDENCE) / n if n else 0)).round(9).tolist())
-                typical.append(bool(n and total.max() / n >= model.floor))
+                typical.append(bool(n and (n < FEW or total.max() / n >= model.floor)))
             columns = [batch.column(n) for n in ("id", "declared", "suffix", "domain", "host")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(evidence, schema.field("evidence").type), pa.array(typical)], schema=schema)
 

@@ -102,15 +102,15 @@ def read_avi(media: bytes) -> tuple[int, list[bytes]]:
         elif kind == b"idx1":
             index = media[pos + 8 : pos + 8 + size]
         pos += 8 + size + (size & 1)
-    if not movi:
-        raise ValueError("no movi list")
+    if not movi or len(index) % 16:
+        raise ValueError("no movi list, or a broken index")
     frames = []
     for kind, flags, at, size in struct.iter_unpack("<4sIII", index):
         if kind[2:] not in (b"dc", b"db"):
             continue
         if not flags & 0x10:
             raise ValueError("not an intra frame")
-        if struct.unpack_from("<4sI", media, movi + at) != (kind, size):
+        if movi + at + 8 + size > len(media) or struct.unpack_from("<4sI", media, movi + at) != (kind, size):
             raise ValueError("index and movi list differ")
         frames.append(media[movi + at + 8 : movi + at + 8 + size])
     return usec, frames
