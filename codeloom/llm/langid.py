@@ -52,7 +52,11 @@ def fit(labelled: DataFrame, text: str = "text", language: str = "lang", key: st
     """The likelihoods from at most sample labelled rows. The floor is halfway from
     the usual mean to that of trigrams never seen, so only texts that are hardly in any language fall below it."""
     rows = labelled.select(labelled[language].cast("string").alias("l"), labelled[text].cast("string").alias("t"), F.xxhash64(labelled[key]).alias("h"))
-    rows = rows.where(F.col("l").isNotNull() & (F.length("t").between(20, LONGEST))).orderBy("h", "l", "t").limit(sample).collect()
+    rows = rows.where(F.col("l").isNotNull() & F.col("t").isNotNull())
+    n = rows.count()
+    if n > 2 * sample:  # only about twice the sample's rows leave their tasks, however many tasks there are
+        rows = rows.where(F.col("h") < int(-(1 << 63) + (1 << 64) * (2 * sample / n)))
+    rows = rows.where(F.length("t").between(20, LONGEST)).orderBy("h", "l", "t").limit(sample).collect()
     languages = tuple(sorted({r["l"] for r in rows})) or (UNKNOWN,)
     counts = np.full((len(languages), CELLS), 0.05)
     for r in rows:
