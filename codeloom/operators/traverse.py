@@ -27,7 +27,7 @@ def _ordered(edges: DataFrame) -> list[str]:
 def reach(edges: DataFrame, start: str, hops: int, relations: Iterable[str] = ()) -> DataFrame:
     """(id, hop): nodes that at most hops out-edges reach, start included, with the fewest hops. Cycles are safe."""
     spark = edges.sparkSession
-    pick = edges.where(F.col("target_id").isNotNull() & matches(F.col("relation"), relations)).select("source", "target_id").distinct()
+    pick = edges.where(F.col("target_id").isNotNull() & matches(F.col("relation"), relations)).select("source", "target_id").persist()
     seen = spark.createDataFrame([(start, 0)], "id string, hop int")
     frontier = seen
     for hop in range(1, hops + 1):
@@ -36,6 +36,7 @@ def reach(edges: DataFrame, start: str, hops: int, relations: Iterable[str] = ()
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+    pick.unpersist()
     return seen
 
 
@@ -46,25 +47,25 @@ def shortest_path(edges: DataFrame, nodes: DataFrame, source: str, target: str,
         return []
     if source == target:
         return [source]
-    pick = edges.where(F.col("target_id").isNotNull()).select("source", "target_id").distinct()
-    seen = edges.sparkSession.createDataFrame([(source, 0, None)], "id string, hop int, parent string")
-    frontier = seen
-    for hop in range(1, max_hops + 1):
-        step = frontier.select(F.col("id").alias("source")).join(pick, "source").groupBy(F.col("target_id").alias("id")).agg(F.min("source").alias("parent"))
-        frontier = cut(step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(hop).alias("hop"), "parent"))
-        if frontier.isEmpty():
-            return []
-        seen = seen.unionByName(frontier)
-        if not frontier.where(F.col("id") == target).isEmpty():
-            break
-    else:
+    pick = edges.where(F.col("target_id").isNotNull()).select("source", "target_id").persist()
+    try:
+        seen = edges.sparkSession.createDataFrame([(source, 0)], "id string, hop int")
+        frontier = seen
+        for hop in range(1, max_hops + 1):
+            step = frontier.select(F.col("id").alias("source")).join(pick, "source").select(F.col("target_id").alias("id")).distinct()
+            frontier = cut(step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(hop).alias("hop")))
+            if frontier.isEmpty():
+                return []
+            seen = seen.unionByName(frontier)
+            if not frontier.where(F.col("id") == target).isEmpty():
+                return _walk_back(seen, pick, source, target, hop)
         return []
-    return _walk_back(seen, pick, source, target, hop)
+    finally:
+        pick.unpersist()
 
 
 def _walk_back(seen: DataFrame, pick: DataFrame, source: str, target: str, hops: int) -> list[str]:
     """Of all shortest paths the least one: nodes that still lead to target are marked level by level, then followed greedily."""
-    good = [{target}]
     on = seen.sparkSession.createDataFrame([(target,)], "target_id string")
     levels = [on]
     for hop in range(hops - 1, 0, -1):
@@ -72,7 +73,6 @@ def _walk_back(seen: DataFrame, pick: DataFrame, source: str, target: str, hops:
         on = cut(pick.join(on, "target_id", "left_semi").join(at, "source", "left_semi").select(F.col("source").alias("target_id")).distinct())
         levels.append(on)
     path, here = [source], source
-    del good
     for on in reversed(levels):
         here = pick.where(F.col("source") == here).join(on, "target_id", "left_semi").agg(F.min("target_id").alias("t")).first()["t"]
         path.append(here)
