@@ -117,11 +117,12 @@ def _in_order(nodes: DataFrame, pairs: DataFrame, prior: DataFrame | None, confi
 
 
 def _synchronous(nodes: DataFrame, pairs: DataFrame, config: ClusterConfig, rounds: int = 12) -> DataFrame:
-    """(node_id, group string): in each round half of the nodes, by hash, move to the community of greatest gain at once."""
+    """(node_id, group string): in each round half of the nodes, in turns by hash, move to the community of greatest gain at once."""
     both = cut(pairs.select("u", "v", "w").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "w")))
     degree = both.groupBy("u").agg(F.sum("w").alias("d"))
     total = both.agg(F.sum("w")).first()[0] or 1.0
     labels = cut(degree.select("u", "d", F.col("u").alias("c")))
+    still = 0
     for r in range(rounds):
         tot = labels.groupBy("c").agg(F.sum("d").alias("tot"))
         weights = both.join(labels.select(F.col("u").alias("v"), "c"), "v").groupBy("u", "c").agg(F.sum("w").alias("k"))
@@ -129,10 +130,11 @@ def _synchronous(nodes: DataFrame, pairs: DataFrame, config: ClusterConfig, roun
         rest = F.col("tot") - F.when(F.col("c") == F.col("own"), F.col("d")).otherwise(0.0)
         gain = F.col("k") - config.resolution * rest * F.col("d") / F.lit(total)
         best = options.groupBy("u").agg(F.max_by("c", F.struct(gain, F.col("c") == F.col("own"), F.col("c"))).alias("best"))
-        turn = F.pmod(F.xxhash64("u", F.lit(r)), F.lit(2)) == 0
+        turn = F.pmod(F.xxhash64("u") + F.lit(r), F.lit(2)) == 0
         moved = cut(labels.join(best, "u", "left").select("u", "d", F.when(turn, F.coalesce("best", "c")).otherwise(F.col("c")).alias("c"), (turn & (F.coalesce("best", "c") != F.col("c"))).alias("m")))
         labels = moved.select("u", "d", "c")
-        if r % 2 and moved.where("m").isEmpty():
+        still = still + 1 if moved.where("m").isEmpty() else 0
+        if still == 2:  # neither half has anything to move
             break
     return nodes.select(F.col("id").alias("node_id")).join(labels.select(F.col("u").alias("node_id"), "c"), "node_id", "left").select("node_id", F.coalesce("c", "node_id").alias("group"))
 
