@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+#: Rows of an Arrow batch at most: rows hold whole texts, of which the default of 10,000 fills tens of megabytes.
+BATCH_ROWS = 1000
 #: Bytes of (compressed) input whose texts one group of a grouped Python stage holds on average.
 BUCKET_BYTES = 5 << 19
 
@@ -16,8 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows of an Arrow batch to BATCH_ROWS, which bounds what a Python worker holds at once."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting, "0")) <= BATCH_ROWS:
+        spark.conf.set(setting, str(BATCH_ROWS))
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, so that no other column of the input can clash; a null text is empty."""
+    small_batches(docs.sparkSession)
     return docs.select(
         docs["doc_id"].cast("long").alias("doc_id"),
         F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"),

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut
+from .common import cut, small_batches
 
 #: Labelled rows that the text likelihoods are fitted on at most: those of least hashed id, of at most LONGEST characters.
 SAMPLE, LONGEST = 3000, 20_000
@@ -73,6 +73,7 @@ def text_evidence(rows: DataFrame, model: Model) -> DataFrame:
     evidence is each language's log-likelihood, tempered to EVIDENCE trigrams; typical is false for a text
     without letters and for one of FEW trigrams or more that no language explains.
     """
+    small_batches(rows.sparkSession)
     fields = "id long, declared string, suffix string, domain string, host string, evidence array<double>, typical boolean"
     schema = pa.schema([("id", pa.int64()), *((n, pa.string()) for n in ("declared", "suffix", "domain", "host")), ("evidence", pa.list_(pa.float64())), ("typical", pa.bool_())])
 
@@ -180,6 +181,7 @@ def identify_pages(pages: DataFrame, model: Model) -> DataFrame:
             columns = list(zip(*parts)) or [()] * 5
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, pa.string()) for c in columns)], names=names)
 
+    small_batches(pages.sparkSession)
     rows = pages.select(pages["page_id"].cast("long").alias("id"), pages["url"].cast("string").alias("url"), pages["html"].cast("string").alias("html"))
     rows = rows.mapInArrow(read, "id long, text string, declared string, suffix string, domain string, host string")
     return fuse(text_evidence(rows, model), model).withColumnRenamed("id", "page_id")

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from .common import small_batches
 from .tokenizers import ByteBPE
 
 #: Documents whose remainders are packed together; bounds a task's memory and the work of a placement.
@@ -121,6 +122,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits
     an empty table gives no pieces.
     """
     prompt = F.coalesce(docs[prompt_tokens].cast("long"), F.lit(0)) if prompt_tokens else F.lit(0).cast("long")
+    small_batches(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), prompt.alias("prompt"))
     end = int(end_id).to_bytes(4, "little")
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .boosting import Boosted
-from .common import texts
+from .common import small_batches, texts
 
 KINDS = ("email", "ip", "card", "phone")
 #: Share of chosen candidates that must be right, by which the thresholds are set.
@@ -247,6 +247,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
 def redact_texts(docs: DataFrame) -> DataFrame:
     """docs(text, ...) with the same columns and rows, its texts redacted; a null text stays null, n_chars follows if it is there."""
+    small_batches(docs.sparkSession)
     fitted = model()
 
     @F.pandas_udf("string")

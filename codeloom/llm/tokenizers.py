@@ -8,7 +8,7 @@ import json
 import numpy as np
 
 #: Chunks that one worker's memo holds at most; a full memo is emptied, which only costs time.
-MEMO = 400_000
+MEMO = 150_000
 #: The published split pattern of the byte-level vocabularies.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
