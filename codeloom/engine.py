@@ -59,7 +59,7 @@ def attributed(nodes: DataFrame, projects: DataFrame) -> DataFrame:
     """nodes as the link operators take them, with project, impl and returns."""
     placed = link.project_of(nodes.select("source_file").where("source_file IS NOT NULL").distinct(), projects, "source_file")
     rows = nodes.join(placed, "source_file", "left")
-    return rows.select("id", "label", "kind", "source_file", "project", F.col("attrs")["impl"].alias("impl"), F.col("attrs")["returns"].alias("returns"))
+    return rows.select(*"id label kind source_file project".split(), F.col("attrs")["impl"].alias("impl"), F.col("attrs")["returns"].alias("returns"))
 
 
 class Engine:
@@ -139,7 +139,7 @@ class Engine:
             held = link.project_of(nodes.where("kind = 'file'").select("id", F.col("source_file").alias("path")), projects)
             over_nodes, over_edges = link.project_overlay(projects, held)
             blank = F.lit(None)
-            over_nodes = over_nodes.select("id", "label", "kind", blank.cast("string").alias("source_file"), blank.cast("int").alias("span_start"), blank.cast("int").alias("span_end"), "attrs")
+            over_nodes = over_nodes.select(*"id label kind".split(), blank.cast("string").alias("source_file"), blank.cast("int").alias("span_start"), blank.cast("int").alias("span_end"), "attrs")
             all_nodes = cut(nodes.unionByName(over_nodes.select(*nodes.columns)))
             all_edges = cut(code.unionByName(over_edges.withColumn("recv", blank.cast("string")).select(*code.columns)))
             removed, added = delta.edge_diff(prior["edges"], all_edges, EDGE_KEY)

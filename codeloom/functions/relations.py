@@ -12,7 +12,7 @@ IMPLEMENTS, EXTENDS, INHERITS, HAS_VARIANT = "implements", "extends", "inherits"
 TYPE_FAMILY = "type/"
 STRUCTURAL = (CONTAINS, IMPORTS, DEPENDS_ON, HAS_VARIANT)
 ANY, SEMANTIC = "any", "semantic"
-LINKABLE = ("function", "struct", "enum", "trait", "class", "interface", "type_alias")
+LINKABLE = tuple("class enum function interface struct trait type_alias".split())
 EXTRACTED, INFERRED, AMBIGUOUS = "EXTRACTED", "INFERRED", "AMBIGUOUS"
 WEIGHTS = {EXTRACTED: 1.0, INFERRED: 0.5, AMBIGUOUS: 0.25}
 

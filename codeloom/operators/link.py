@@ -185,7 +185,7 @@ def project_overlay(projects: DataFrame, file_nodes: DataFrame) -> tuple[DataFra
     return nodes, deps.unionByName(held)
 
 
-EXTENSIONS = ("ts", "tsx", "mts", "cts", "js", "jsx", "mjs", "cjs", "json")
+EXTENSIONS = tuple("ts tsx mts cts js jsx mjs cjs json".split())
 
 
 def probe(paths: DataFrame, files: DataFrame, path: str = "path") -> DataFrame:

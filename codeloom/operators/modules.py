@@ -60,7 +60,7 @@ def _rust(asked: DataFrame, files: DataFrame, projects: DataFrame) -> DataFrame:
     rows = rows.withColumn("_base", base).where(F.col("_base").isNotNull()).withColumn("_path", F.concat(prefix, rest))
     stem = _joined(F.col("_base"), F.array_join("_path", "/"))
     module = F.array(F.concat(stem, F.lit(".rs")), F.concat(stem, F.lit("/mod.rs")))
-    top = F.array(*(_joined(F.col("_base"), F.lit(n)) for n in ("lib.rs", "main.rs", "mod.rs")))
+    top = F.array(*(_joined(F.col("_base"), F.lit(n)) for n in "lib.rs main.rs mod.rs".split()))
     return _first_existing(rows, files, F.when(F.size("_path") == 0, top).otherwise(module), ["file", "specifier"])
 
 

@@ -68,7 +68,7 @@ def report_markdown(report: dict[str, DataFrame], most: int = 50) -> str:
         return [*out, ""]
 
     lines = ["# Graph report", ""]
-    lines += section("Projects", report["projects"], ["root", "name", "manifest", "files", "depends_on"])
+    lines += section("Projects", report["projects"], "root name manifest files depends_on".split())
     lines += section("Totals", report["stats"], ["n_nodes", "n_edges", "n_communities"])
     lines += section("Confidence", report["confidence"], ["confidence", "n", "percent"])
     lines += section("Most connected nodes", report["god_nodes"], ["label", "kind", "id", "degree"])

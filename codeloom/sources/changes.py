@@ -9,7 +9,7 @@ LANGUAGES = {
     "go": "go", "java": "java", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "hpp": "cpp",
 }
 DOCUMENTS = ("md", "rst", "txt")
-MANIFESTS = ("Cargo.toml", "package.json", "deno.json", "deno.jsonc", "go.mod", "pyproject.toml")
+MANIFESTS = tuple("pyproject.toml go.mod package.json deno.json deno.jsonc Cargo.toml".split())
 
 
 def _extension(path: Column) -> Column:

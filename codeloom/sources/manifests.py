@@ -67,7 +67,7 @@ def _go(text: str) -> tuple[str | None, str | None, list[str]]:
 def parse(basename: str, content: bytes) -> tuple[str | None, str | None, list[str]]:
     """(name, entry, deps); a garbled manifest has none of them but still marks a project."""
     text = content.decode("utf-8", "replace")
-    if basename in ("package.json", "deno.json", "deno.jsonc"):
+    if basename in "package.json deno.json deno.jsonc".split():
         return _json(text)
     if basename == "Cargo.toml":
         return _toml(text, "package")
