@@ -74,5 +74,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: Every byte or word of every window, without anchors, sketches or buckets: for tables small enough.
+OP3_SQL = """WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+win AS (SELECT doc_id, i, array_slice(b, i, i + 99) AS s FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 98)) AS i FROM d)),
+ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM win),
+cover AS (SELECT DISTINCT doc_id, unnest(range(i, i + 100)) AS p FROM ranked WHERE k > 1),
+span AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (p - last > 1 OR last IS NULL) AS n_spans FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS last FROM cover) GROUP BY doc_id),
+byte AS (SELECT doc_id, p, substring(h, 2 * p - 1, 2) AS x FROM (SELECT doc_id, hex(b) AS h, unnest(range(1, octet_length(b) + 1)) AS p FROM d WHERE doc_id IN (SELECT doc_id FROM cover))),
+kept AS (SELECT doc_id, string_agg(x, '' ORDER BY p) AS h FROM byte ANTI JOIN cover USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+CASE WHEN span.doc_id IS NULL THEN sha256(b) ELSE sha256(unhex(coalesce(h, ''))) END AS kept_sha256
+FROM d LEFT JOIN span ON span.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id"""
+
+OP6_SQL = r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+first AS (SELECT s, min(doc_id) AS m FROM win GROUP BY s),
+cover AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN first USING (s) WHERE m < doc_id),
+word AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM d),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t FROM word ANTI JOIN cover USING (doc_id, p) GROUP BY doc_id),
+gone AS (SELECT doc_id, count(*) AS n FROM cover GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(gone.n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id LEFT JOIN gone ON gone.doc_id = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others need hashes, tokenizers, codecs, fitted models or splitters that SQL has not: tests/llm checks them."""
+    return {"op3_suffix_dedup": OP3_SQL, "op6_substring_dedup": OP6_SQL}
