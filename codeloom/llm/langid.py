@@ -9,14 +9,15 @@ from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import cut, small_batches
 
-#: Labelled rows that the text likelihoods are fitted on at most: those of least hashed id, of at most LONGEST characters.
-SAMPLE, LONGEST = 3000, 20_000
+#: Labelled rows of each language that the text likelihoods are fitted on at most: those of least hashed id and text.
+SAMPLE = 3000
 CELLS = 1 << 15
-#: Trigrams beyond which a text gives no more evidence, since neighbours aren't independent.
+#: Trigrams beyond which a text gives no more evidence, since neighbours aren't independent. In the fit all of a longer text is
+#: counted, but weighs as so many.
 EVIDENCE = 120
 #: Trigrams below which an odd text isn't taken for one without a language: its declaration and host decide.
 FEW = 10
@@ -48,22 +49,61 @@ def _cells(text: str) -> np.ndarray:
     return ((a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77) + c * np.uint32(0xC2B2AE3D)) >> np.uint32(17)).astype(np.int64)
 
 
+def _sampled(labelled: DataFrame, text: str, language: str, key: str, sample: int) -> tuple[list[str], DataFrame]:
+    """(every label, (l, t): the sample rows of least hash of each, all if they are fewer). A label's rows of any length count."""
+    rows = labelled.select(labelled[language].cast("string").alias("l"), labelled[text].cast("string").alias("t"), labelled[key].alias("k"))
+    rows = rows.where(F.col("l").isNotNull() & F.col("t").isNotNull()).select("l", "t", F.xxhash64("k", "t").alias("h"))
+    sizes = rows.groupBy("l").agg(F.count("*").alias("n"), F.min("h").alias("least"))
+    sizes = sizes.collect()
+    if not sizes:
+        return [], rows.select("l", "t")
+    # only about twice the sample's rows of a label leave their tasks, however many tasks there are, and one at least
+    bounds = [(r["l"], max(r["least"], int(-(1 << 63) + (1 << 64) * (2 * sample / r["n"]))) if r["n"] > 2 * sample else (1 << 63) - 1) for r in sizes]
+    bounds = labelled.sparkSession.createDataFrame(bounds, "l string, most long")
+    rows = rows.join(F.broadcast(bounds), "l").where("h <= most")
+    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))).where(F.col("at") <= sample)
+    return sorted(r["l"] for r in sizes), cut(rows.select("l", "t"))
+
+
 def fit(labelled: DataFrame, text: str = "text", language: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """The likelihoods from at most sample labelled rows. The floor is halfway from
-    the usual mean to that of trigrams never seen, so only texts that are hardly in any language fall below it."""
-    rows = labelled.select(labelled[language].cast("string").alias("l"), labelled[text].cast("string").alias("t"), F.xxhash64(labelled[key]).alias("h"))
-    rows = rows.where(F.col("l").isNotNull() & F.col("t").isNotNull())
-    n = rows.count()
-    if n > 2 * sample:  # only about twice the sample's rows leave their tasks, however many tasks there are
-        rows = rows.where(F.col("h") < int(-(1 << 63) + (1 << 64) * (2 * sample / n)))
-    rows = rows.where(F.length("t").between(20, LONGEST)).orderBy("h", "l", "t").limit(sample).collect()
-    languages = tuple(sorted({r["l"] for r in rows})) or (UNKNOWN,)
-    counts = np.full((len(languages), CELLS), 0.05)
-    for r in rows:
-        np.add.at(counts[languages.index(r["l"])], _cells(r["t"]), 1)
-    table = np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
-    means = sorted(float(table[:, c].mean(axis=1).max()) for r in rows if len(c := _cells(r["t"])) >= 10)
-    floor = (means[len(means) // 2] + float(table.min())) / 2 if means else -99.0
+    """The likelihoods from at most sample rows of each label; every label has a class. The floor is halfway from
+    the usual mean to that of trigrams never seen, so only texts that are hardly in any language fall below it.
+
+    Trigrams are counted where the rows are. Each language's counts weigh as much as the largest one's: a trigram
+    never seen is as unlikely in a language of few rows as in one of many, so odd texts don't go to the rarest.
+    """
+    small_batches(labelled.sparkSession)
+    found, rows = _sampled(labelled, text, language, key, sample)
+    languages = tuple(found) or (UNKNOWN,)
+
+    def count(batches):
+        for batch in batches:
+            sums: dict[str, np.ndarray] = {}
+            for name, t in zip(batch.column("l").to_pylist(), batch.column("t")):
+                mine = sums.setdefault(name, np.zeros(CELLS, np.int64))
+                cells = _cells(t.as_py())
+                mine += np.rint(np.bincount(cells, minlength=CELLS) * (1e6 * min(1, EVIDENCE / max(len(cells), 1)))).astype(np.int64)  # whole millionths: sums in any order agree
+            for name, mine in sums.items():
+                cells = np.nonzero(mine)[0]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(cells), pa.string()), pa.array(cells.astype(np.int32)), pa.array(mine[cells])], names=["l", "cell", "n"])
+
+    counts = np.zeros((len(languages), CELLS))
+    if found:
+        sums = rows.mapInArrow(count, "l string, cell int, n long").groupBy("l", "cell").agg(F.sum("n").alias("n")).toArrow()
+        place = {name: k for k, name in enumerate(languages)}
+        counts[[place[name] for name in sums.column("l").to_pylist()], sums.column("cell").to_numpy()] = sums.column("n").to_numpy() / 1e6
+    totals = counts.sum(axis=1, keepdims=True)
+    most = totals.max()
+    counts = counts * (most / np.maximum(totals, 1)) + 0.05
+    table = np.log(counts / (most + 0.05 * CELLS)).astype(np.float32)
+
+    def mean(batches):
+        for batch in batches:
+            cells = (_cells(t.as_py()) for t in batch.column("t"))
+            yield pa.RecordBatch.from_arrays([pa.array([float(table[:, c].mean(axis=1).max()) for c in cells if len(c) >= 10], pa.float64())], names=["mean"])
+
+    means = np.sort(rows.select("t").mapInArrow(mean, "mean double").toArrow().column("mean").to_numpy()) if found else []
+    floor = (float(means[len(means) // 2]) + float(table.min())) / 2 if len(means) else -99.0
     return Model(languages, table, floor)
 
 

@@ -65,3 +65,15 @@ def test_pages(spark, model):
 def test_fit_without_labels(spark):
     empty = langid.fit(spark.createDataFrame([], "doc_id long, text string, lang string"))
     assert empty.languages == (langid.UNKNOWN,)
+
+
+def test_every_label_has_a_class(spark):
+    rng = random.Random(7)
+    rows = [(k, speech("aa", 20, rng), "aa") for k in range(400)] + [(k, speech("bb", 20, rng), "bb") for k in range(400, 800)]
+    rows += [(900, speech("cc", 20, rng), "cc"), (901, "длинный текст на другом языке " * 800, "ru"), (902, "kurz", "xx"), (903, "12 34", "nn")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=20)
+    assert model.languages == ("aa", "bb", "cc", "nn", "ru", "xx")
+    texts = [(1, speech("cc", 6, rng)), (2, "текст на другом языке длинный"), (3, speech("aa", 6, rng)), (4, speech("bb", 6, rng))]
+    docs = spark.createDataFrame([(k, t, None, "s") for k, t in texts], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: (r["language"], r["accepted"]) for r in langid.identify_documents(docs, model).collect()}
+    assert got == {1: ("cc", True), 2: ("ru", True), 3: ("aa", True), 4: ("bb", True)}
