@@ -186,6 +186,7 @@ def fuse(rows: DataFrame, model: Model) -> DataFrame:
 
 _DROP = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->", re.I | re.S)
 _TAG = re.compile(r"<[^>]*>")
+_HTML = re.compile(r"<html\b", re.I)
 _LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
 
 
@@ -194,7 +195,8 @@ def page_parts(url: str | None, page: str | None) -> tuple[str, str | None, str,
 
     The suffix is the last label of the host, with the first path segment if that is a two-letter code."""
     page = page or ""
-    found = _LANG.search(page[:4096])
+    shown = _DROP.sub(" ", page)
+    found = _LANG.search(shown if _HTML.search(shown) else page)  # the tag may be in conditional comments alone
     try:
         parts = urlsplit(url or "")
         host = (parts.hostname or "").lower()
@@ -203,7 +205,7 @@ def page_parts(url: str | None, page: str | None) -> tuple[str, str | None, str,
     labels = host.split(".")
     segment = parts.path.strip("/").split("/")[0].lower() if parts else ""
     suffix = labels[-1] + (f"/{segment}" if len(segment) == 2 and segment.isalpha() else "")
-    text = html_entities.unescape(_TAG.sub(" ", _DROP.sub(" ", page)))
+    text = html_entities.unescape(_TAG.sub(" ", shown))
     return text, found.group(1).lower() if found else None, suffix, ".".join(labels[-2:]), host
 
 

@@ -56,6 +56,13 @@ def test_page_parts():
     assert langid.page_parts("http://[bad", "x")[2:] == ("", "", "")
 
 
+def test_declaration_after_a_long_preamble():
+    for preamble in ("<!-- " + "banner " * 900 + "-->", "\n" * 5000, "<!--[if IE]><html lang='xx'><![endif]-->" + " " * 5000):
+        assert langid.page_parts("http://a.org", f'<!DOCTYPE html>{preamble}<html class="a" lang="pl-PL"><body>Tak')[1] == "pl"
+    assert langid.page_parts(None, " " * 5000 + '<!--[if IE]><html lang="nl"><![endif]-->Ja')[1] == "nl"
+    assert langid.page_parts(None, "<html><script>x = '<html lang=\"de\">'</script>" + " " * 5000 + "Ja")[1] is None
+
+
 def test_pages(spark, model):
     rows = [(1, "http://a.com/aa/1", '<html lang="aa">' + speech("aa", 5, random.Random(1))), (2, None, None), (2, None, None), (None, "", "<p></p>")]
     got = langid.identify_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), model).collect()
