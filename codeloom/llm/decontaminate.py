@@ -6,7 +6,8 @@ in words between it and some stretch of a document is at most (1 - SIMILARITY) *
 An item within k edits leaves a run of at least (n - k) / (k + 1) words intact, so only windows with such a run
 can match: the runs (up to SEED words) place the item-sized windows, losing none. The CGK random walk embeds window and
 item so that few edits give few differing places; a repetition samples places of the embedding, and a pair
-goes on to verification if any repetition agrees. Repetitions are added until mutated items at the full distance reach RECALL.
+goes on to verification if any repetition agrees. Repetitions are added for each
+class of lengths until its mutated items at the full distance reach RECALL.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ SIMILARITY, RECALL, SEED = 0.8, 0.995, 4
 LEAST_WORDS = 5
 #: Places that one repetition samples, and most repetitions.
 SAMPLED, MOST_REPETITIONS = 2, 64
+#: Mutated items that a class's repetitions are calibrated on at least, words of an item up to which they are, and no repetitions at all.
+TRIALS, MOST_WORDS, EXACT = 400, 2000, 0
 #: Bytes of items that are broadcast at once; a larger benchmark is done in blocks of this size.
 BLOCK_BYTES = 16 << 20
 _PLAIN = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
@@ -44,7 +47,7 @@ class Index:
     edits: list[int]
     vocabulary: dict[bytes, int]
     seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
-    repetitions: int
+    repetitions: list[int]
 
 
 def allowed(n: int, similarity: float = SIMILARITY) -> int:
@@ -148,21 +151,48 @@ def _mutated(item: np.ndarray, k: int, rng: random.Random) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def _repetitions(items: list[np.ndarray], edits: list[int], recall: float) -> int:
-    """The fewest repetitions with which mutated items, cut to the item's size, agree at the target recall."""
-    rng, trials = random.Random(7), []
-    for k in range(400):
-        n = k % len(items)
-        item, changed = items[n], _mutated(items[n], edits[n], rng)
-        window = np.zeros(len(item), np.int64)
-        window[: len(changed)] = changed[: len(item)]
-        trials.append((item, window))
-    missed = trials
-    for r in range(MOST_REPETITIONS):
-        missed = [(i, w) for i, w in missed if not (embed(w[None, :], r, p := _places(r, len(i))) == embed(i[None, :], r, p)).all()]
-        if len(missed) <= (1 - recall) * len(trials):
-            return r + 1
-    return MOST_REPETITIONS
+def _walks(windows: np.ndarray, repetition: int, places: np.ndarray) -> np.ndarray:
+    """embed for windows of several sizes, padded with 0, each row at its own places."""
+    rows, n = windows.shape
+    padded = np.concatenate([windows, np.zeros((rows, 1), windows.dtype)], axis=1)
+    position, every = np.zeros(rows, np.int64), np.arange(rows)
+    out, wanted = np.zeros(places.shape, windows.dtype), set(places.ravel().tolist())
+    for step in range(max(wanted) + 1):
+        symbol = padded[every, position]
+        if step in wanted:
+            out = np.where(places == step, symbol[:, None], out)
+        position = np.minimum(position + _walk_bits(repetition, step >> 7)[step & 127, symbol & 1023], n)
+    return out
+
+
+def _repetitions(items: list[np.ndarray], edits: list[int], recall: float) -> list[int]:
+    """For each item the fewest repetitions with which mutated items of its class, cut to the item's size, agree at the target recall.
+
+    A class holds the items of about one length; each item of it is tried, and TRIALS are made at least. EXACT stands where
+    MOST_REPETITIONS don't reach the target and for items of over MOST_WORDS words: there every placed window is verified.
+    """
+    classes: dict[int, list[int]] = {}
+    for k, item in enumerate(items):
+        classes.setdefault(int(np.log(len(item)) / np.log(1.25)), []).append(k)
+    out = [EXACT] * len(items)
+    for members in classes.values():
+        if max(len(items[k]) for k in members) > MOST_WORDS:
+            continue
+        rng, most = random.Random(7), max(len(items[k]) for k in members)
+        tried = [members[k % len(members)] for k in range(max(TRIALS, len(members)))]
+        whole, cut_ = np.zeros((len(tried), most), np.int64), np.zeros((len(tried), most), np.int64)
+        for row, k in enumerate(tried):
+            n, changed = len(items[k]), _mutated(items[k], edits[k], rng)[: len(items[k])]
+            whole[row, :n], cut_[row, : len(changed)] = items[k], changed
+        missed = np.arange(len(tried))
+        for r in range(MOST_REPETITIONS):
+            places = np.array([_places(r, len(items[tried[row]])) for row in missed])
+            missed = missed[(_walks(whole[missed], r, places) != _walks(cut_[missed], r, places)).any(axis=1)]
+            if len(missed) <= (1 - recall) * len(tried):
+                for k in members:
+                    out[k] = r + 1
+                break
+    return out
 
 
 def build_index(rows: list[tuple[int, str]], similarity: float = SIMILARITY, recall: float = RECALL) -> Index:
@@ -185,7 +215,7 @@ def build_index(rows: list[tuple[int, str]], similarity: float = SIMILARITY, rec
         codes, of, at = (np.concatenate(p) for p in zip(*parts))
         order = np.argsort(codes, kind="stable")
         seeds[size] = (codes[order], of[order], at[order])
-    return Index(ids, items, edits, vocabulary, seeds, _repetitions(items, edits, recall) if items else 0)
+    return Index(ids, items, edits, vocabulary, seeds, _repetitions(items, edits, recall))
 
 
 def _placed(symbols: np.ndarray, index: Index) -> Iterator[tuple[int, np.ndarray]]:
@@ -210,6 +240,21 @@ def _placed(symbols: np.ndarray, index: Index) -> Iterator[tuple[int, np.ndarray
         yield int(pairs[a, 0]), pairs[a:b, 1]
 
 
+def _stretches(starts: list[int], n: int, most: int) -> Iterator[tuple[int, int]]:
+    """The words to verify around each start, overlapping ones as one stretch."""
+    low = high = None
+    for start in starts:
+        a, b = max(0, start - 2 * most), max(0, start + n + 2 * most)
+        if low is not None and a <= high:
+            high = max(high, b)
+            continue
+        if low is not None:
+            yield low, high
+        low, high = a, b
+    if low is not None:
+        yield low, high
+
+
 def search(symbols: np.ndarray, index: Index) -> list[tuple[int, int, int]]:
     """(item's place in the index, distance, last word's place + 1) of each item within its distance, at its nearest place."""
     out = []
@@ -222,10 +267,16 @@ def search(symbols: np.ndarray, index: Index) -> list[tuple[int, int, int]]:
         for a in range(0, len(starts), 4096):
             part = starts[a : a + 4096]
             part = part[(part >= -(n + most)) & (part <= len(symbols))]
-            for start in part[agree(view[part + n + most], wanted, index.repetitions)].tolist():
-                low = max(0, start - 2 * most)
-                distance, end = edit_distance(wanted, symbols[low : max(0, start + n + 2 * most)])
+            tries = index.repetitions[item]
+            if tries != EXACT:
+                part = part[agree(view[part + n + most], wanted, tries)]
+            for low, high in _stretches(part.tolist(), n, most):
+                distance, end = edit_distance(wanted, symbols[low:high])
                 best = min(best, (distance, low + end))
+                if not best[0]:  # starts are in order, so no other copy ends before this one
+                    break
+            if not best[0]:
+                break
         if best[0] <= most:
             out.append((item, *best))
     return out

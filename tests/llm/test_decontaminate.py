@@ -90,3 +90,32 @@ def test_blocks(spark, corpus, monkeypatch):
     got = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).count()
     monkeypatch.setattr(D, "BLOCK_BYTES", 1 << 24)
     assert got == D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).count()
+
+
+def test_repetitions_hold_for_each_length():
+    rng = random.Random(9)
+    say = lambda n: np.array([rng.randint(1, 3000) for _ in range(n)], np.int64)
+    items = [say(8) for _ in range(450)] + [say(400) for _ in range(3)] + [say(2100)]
+    edits = [D.allowed(len(i)) for i in items]
+    tries = D._repetitions(items, edits, D.RECALL)
+    assert len(set(tries[:450])) == 1 and tries[-1] == D.EXACT
+    found = 0
+    for _ in range(120):
+        window = np.zeros(400, np.int64)
+        changed = D._mutated(items[450], edits[450], rng)[:400]
+        window[: len(changed)] = changed
+        found += bool(D.agree(window[None, :], items[450], tries[450])[0]) or tries[450] == D.EXACT
+    assert found >= 117
+
+
+def test_unreached_recall_is_verified_exactly(monkeypatch):
+    monkeypatch.setattr(D, "MOST_REPETITIONS", 1)
+    rng = random.Random(10)
+    item = [f"w{rng.randint(0, 500)}" for _ in range(60)]
+    index = D.build_index([(1, " ".join(item))])
+    for _ in range(40):
+        changed = list(item)
+        for at in rng.sample(range(60), 12):
+            changed[at] = "other"
+        symbols = np.array([index.vocabulary.get(w, 0) for w in D.words(" ".join(["x"] * 9 + changed + ["y"] * 9))], np.int64)
+        assert [i for i, _, _ in D.search(symbols, index)] == [0]
