@@ -1,6 +1,6 @@
 """Benchmark passages in documents: CGK embedding, repeated bit-sampling LSH over item-sized windows, exact edit verification.
 
-Symbols are words: lower-cased, ASCII punctuation as white space. An item of n words is found where the edit distance
+Symbols are words: lower-cased, ASCII punctuation as white space; in scripts without spaces they are characters. An item of n words is found where the edit distance
 in words between it and some stretch of a document is at most (1 - SIMILARITY) * n.
 
 An item within k edits leaves a run of at least (n - k) / (k + 1) words intact, so only windows with such a run
@@ -13,6 +13,7 @@ class of lengths until its mutated items at the full distance reach RECALL.
 from __future__ import annotations
 
 import random
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -25,8 +26,6 @@ from pyspark.sql import DataFrame, functions as F
 from .common import texts
 
 SIMILARITY, RECALL, SEED = 0.8, 0.995, 4
-#: Shorter items aren't looked for: a run of so few words says nothing about where it is from.
-LEAST_WORDS = 5
 #: Places that one repetition samples, and most repetitions.
 SAMPLED, MOST_REPETITIONS = 2, 64
 #: Mutated items that a class's repetitions are calibrated on at least, words of an item up to which they are, and no repetitions at all.
@@ -36,7 +35,14 @@ BLOCK_BYTES = 16 << 20
 _PLAIN = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 
 
+#: Scripts that are written without spaces: each character is a symbol. Their punctuation is white space, like ASCII's.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u0f40-\u0fbc\u1000-\u109f\u1780-\u17d3\u3005-\u3007\u3021-\u312f\u31a0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+_UNSPACED_MARKS = re.compile("[\u3001-\u3004\u3008-\u3020\u30fb\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
+
+
 def words(text: str) -> list[bytes]:
+    if not text.isascii() and _UNSPACED.search(text):
+        text = _UNSPACED.sub(r" \g<0> ", _UNSPACED_MARKS.sub(" ", text))
     return text.lower().encode().translate(_PLAIN).split()
 
 
@@ -196,12 +202,12 @@ def _repetitions(items: list[np.ndarray], edits: list[int], recall: float) -> li
 
 
 def build_index(rows: list[tuple[int, str]], similarity: float = SIMILARITY, recall: float = RECALL) -> Index:
-    """Items with their runs; items of fewer than LEAST_WORDS words are left out."""
+    """Items with their runs; items of fewer than five words allow no edits, those without a word are left out."""
     vocabulary: dict[bytes, int] = {}
     ids, items, edits = [], [], []
     for item_id, text in rows:
         found = words(text or "")
-        if len(found) >= LEAST_WORDS:
+        if found:
             ids.append(item_id)
             items.append(np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in found], np.int64))
             edits.append(allowed(len(found), similarity))
@@ -300,7 +306,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     each document row and item that lies in it within the distance, at its nearest and first place.
 
     The benchmark is broadcast in blocks of bounded size and each document is searched whole, alone, without an
-    exchange. Null texts hold nothing; items under LEAST_WORDS words aren't looked for; repeated rows of docs give
+    exchange. Null texts hold nothing; items under five words are found as exact word sequences, those without a word nowhere; repeated rows of docs give
     repeated rows, those of benchmark one; empty tables give an empty result.
     """
     fields = "doc_id long, item_id long, distance long, item_words long, last_word long"

@@ -119,3 +119,17 @@ def test_unreached_recall_is_verified_exactly(monkeypatch):
             changed[at] = "other"
         symbols = np.array([index.vocabulary.get(w, 0) for w in D.words(" ".join(["x"] * 9 + changed + ["y"] * 9))], np.int64)
         assert [i for i, _, _ in D.search(symbols, index)] == [0]
+
+
+def test_short_and_unspaced_items():
+    chinese = "下列哪一项是光合作用的主要产物之一并且储存能量"
+    index = D.build_index([(1, "Answer: blue"), (2, "42"), (3, chinese), (4, "..."), (5, "one two three four")])
+
+    def found(text):
+        symbols = np.array([index.vocabulary.get(w, 0) for w in D.words(text)], np.int64)
+        return {(index.ids[i], d) for i, d, _ in D.search(symbols, index)}
+
+    assert found("the answer blue, is right") == {(1, 0)} and found("blue answer") == set()
+    assert found("is 42.") == {(2, 0)} and found("one two three") == set() and found("so one, two three four") == {(5, 0)}
+    assert found("问题：" + chinese + "。") == {(3, 0)}
+    assert found("问题" + chinese[:8] + "错" + chinese[9:] + "答案") == {(3, 1)}
