@@ -3,11 +3,12 @@
 Symbols are words: lower-cased, ASCII punctuation as white space; in scripts without spaces they are characters. An item of n words is found where the edit distance
 in words between it and some stretch of a document is at most (1 - SIMILARITY) * n.
 
-An item within k edits leaves a run of at least (n - k) / (k + 1) words intact, so only windows with such a run
-can match: the runs (up to SEED words) place the item-sized windows, losing none. The CGK random walk embeds window and
-item so that few edits give few differing places; a repetition samples places of the embedding, and a pair
-goes on to verification if any repetition agrees. Repetitions are added for each
-class of lengths until its mutated items at the full distance reach RECALL.
+The CGK random walk embeds window and item so that few edits give few differing places. A repetition is a walk and a word of
+the item from which it begins: it samples SAMPLED places of the next steps, and all items' samples stand in one table for each
+walk. A document's samples from each of its words are looked up there; a sample that agrees with one taken o words into an
+item places the item-sized window o words before, and each window so placed is verified exactly. A document is walked once
+for each walk, whatever the items' number and lengths. Walks are added for each class of lengths until its mutated items at
+the full distance reach RECALL; items that don't reach it are verified against whole texts.
 """
 
 from __future__ import annotations
@@ -25,11 +26,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import texts
 
-SIMILARITY, RECALL, SEED = 0.8, 0.995, 4
-#: Places that one repetition samples, and most repetitions.
-SAMPLED, MOST_REPETITIONS = 2, 64
-#: Mutated items that a class's repetitions are calibrated on at least, words of an item up to which they are, and no repetitions at all.
-TRIALS, MOST_WORDS, EXACT = 400, 2000, 0
+SIMILARITY, RECALL = 0.8, 0.995
+#: Steps of a walk at most, places that a repetition samples of them, and most walks.
+STEPS, SAMPLED, MOST_WALKS = 8, 4, 24
+#: Mutated items that a class's walks are calibrated on at least, and no walks at all.
+TRIALS, WHOLE = 400, 0
+#: Words that are walked at once, pairs that are verified at once, and bits of the codes that the filter sees.
+CHUNK, PAIRS, FILTER_BITS = 1 << 16, 1 << 20, 20
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of items that are broadcast at once; a larger benchmark is done in blocks of this size.
 BLOCK_BYTES = 16 << 20
 _PLAIN = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
@@ -46,77 +50,80 @@ def words(text: str) -> list[bytes]:
     return text.lower().encode().translate(_PLAIN).split()
 
 
+#: What one walk's codes of one number of steps find: a filter by the codes' upper bits, the sorted codes, their items and places.
+Table = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
 @dataclass(frozen=True)
 class Index:
     ids: list[int]
     items: list[np.ndarray]
     edits: list[int]
     vocabulary: dict[bytes, int]
-    seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
-    repetitions: list[int]
+    walks: list[int]
+    tables: dict[tuple[int, int], Table]
 
 
 def allowed(n: int, similarity: float = SIMILARITY) -> int:
     return int((1 - similarity) * n + 1e-9)
 
 
-def _run(n: int, k: int) -> int:
-    return min(SEED, -(-(n - k) // (k + 1)))
-
+def _steps(n: int, k: int) -> int:
+    """Steps of an item's walks: about twice the run of words that k edits leave intact, as a step moves on every other time,
+    and few enough that a walk can begin in either half of a short item."""
+    return min(STEPS, 2 * -(-(n - k) // (k + 1)), (n + 1) // 2) if k else min(STEPS, n)
 
-def _codes(symbols: np.ndarray, size: int) -> np.ndarray:
-    """A number for each run of size symbols, 0 where a run has an unknown one."""
-    n = len(symbols) - size + 1
-    if n < 1:
-        return np.zeros(0, np.uint64)
-    code, known = np.zeros(n, np.uint64), np.ones(n, bool)
-    for k in range(size):
-        part = symbols[k : k + n]
-        known &= part > 0
-        code = code * np.uint64(0x9E3779B97F4A7C15) + part.astype(np.uint64)
-    return np.where(known, code | np.uint64(1), np.uint64(0))
 
+@lru_cache(maxsize=256)
+def _walk(walk: int) -> tuple[np.ndarray, dict[int, list[int]]]:
+    """A walk's shared random bits (for each step and symbol, whether it moves on), and the places that are sampled of so many steps."""
+    rng = np.random.default_rng((20240229, walk))
+    bits = rng.integers(0, 2, (STEPS, 1024))
+    return bits, {n: sorted(rng.choice(n, min(SAMPLED, n), replace=False).tolist()) for n in range(1, STEPS + 1)}
 
-@lru_cache(maxsize=512)
-def _walk_bits(repetition: int, chapter: int) -> np.ndarray:
-    """CGK's shared random bits for 128 steps from the chapter's first: for each step and symbol, whether the walk moves on."""
-    return np.random.default_rng((repetition, chapter)).integers(0, 2, (128, 1024), dtype=np.int8)
 
+def sampled(symbols: np.ndarray, low: int, high: int, walk: int, sizes: set[int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each number of steps in sizes: the code of the sampled places of the CGK embedding from each of symbols[low:high],
+    0 where one holds an unknown symbol, and how many different words were sampled.
 
-def embed(windows: np.ndarray, repetition: int, places: np.ndarray) -> np.ndarray:
-    """The embedding of each row at the given sorted places: at each step the walk writes its symbol and stays or moves on.
-
-    A walk past the end writes 0.
+    At each step the walk writes its symbol and stays or moves on. symbols ends with STEPS zeros, so no walk passes the end.
     """
-    rows, n = windows.shape
-    padded = np.concatenate([windows, np.zeros((rows, 1), windows.dtype)], axis=1)
-    position, every = np.zeros(rows, np.int64), np.arange(rows)
-    out, k = np.zeros((rows, len(places)), windows.dtype), 0
-    for step in range(int(places[-1]) + 1):
-        symbol = padded[every, position]
-        while k < len(places) and places[k] == step:
-            out[:, k] = symbol
-            k += 1
-        position = np.minimum(position + _walk_bits(repetition, step >> 7)[step & 127, symbol & 1023], n)
-    return out
-
-
-@lru_cache(maxsize=4096)
-def _places(repetition: int, n: int) -> np.ndarray:
-    """The places that a repetition samples of a window of n words, out of the first 2n: by then the walk is near the end."""
-    return np.sort(np.random.default_rng(77 + repetition).choice(2 * n, min(SAMPLED, 2 * n), replace=False))
-
-
-def agree(windows: np.ndarray, item: np.ndarray, repetitions: int) -> np.ndarray:
-    """Whether any repetition's sample of a window's embedding equals the item's."""
-    met = np.zeros(len(windows), bool)
-    for r in range(repetitions):
-        left = np.nonzero(~met)[0]
-        if not len(left):
-            break
-        places = _places(r, len(item))
-        met[left] = (embed(windows[left], r, places) == embed(item[None, :], r, places)).all(axis=1)
-    return met
+    bits, places = _walk(walk)
+    position = np.arange(low, high)
+    out = {n: [np.zeros(high - low, np.uint64), np.ones(high - low, bool), np.zeros(high - low, np.int8), np.full(high - low, -1)] for n in sizes}
+    with np.errstate(over="ignore"):
+        for step in range(max(sizes, default=0)):
+            symbol = symbols[position]
+            for n, state in out.items():
+                if step in places[n]:
+                    state[0] = state[0] * _MIX + symbol.view(np.uint64)
+                    state[1] &= symbol > 0
+                    state[2] += position != state[3]
+                    state[3] = position
+            position = np.minimum(position + bits[step][symbol & 1023], len(symbols) - 1)
+        return {n: (np.where(known, (code ^ code >> np.uint64(31)) * _MIX | np.uint64(1), np.uint64(0)), words) for n, (code, known, words, _) in out.items()}
+
+
+def _joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """parts as one array with STEPS zeros behind each, where each begins, and whose each place is."""
+    gap = np.zeros(STEPS, np.int64)
+    lengths = np.array([len(p) + STEPS for p in parts], np.int64)
+    begins = np.cumsum(lengths) - lengths
+    return np.concatenate([x for p in parts for x in (p, gap)]) if parts else gap[:0], begins, np.repeat(np.arange(len(parts)), lengths)
+
+
+def _entries(items: list[np.ndarray], edits: list[int], walk: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code, item, place) of what a walk of size steps samples from each place of the items that has so many words ahead.
+
+    Where edits are allowed, samples of hardly any words are left out: they would meet everywhere.
+    """
+    symbols, begins, of = _joined(items)
+    if not len(symbols):
+        return np.zeros(0, np.uint64), of, of
+    code, words = sampled(symbols, 0, len(symbols), walk, {size})[size]
+    place, ahead = np.arange(len(symbols)) - begins[of], np.array([len(i) for i in items])[of]
+    use = (place + size <= ahead) & ((words >= min(3, (size + 1) // 2)) | (np.array(edits)[of] == 0))
+    return code[use], of[use], place[use]
 
 
 def edit_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -157,52 +164,36 @@ def _mutated(item: np.ndarray, k: int, rng: random.Random) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def _walks(windows: np.ndarray, repetition: int, places: np.ndarray) -> np.ndarray:
-    """embed for windows of several sizes, padded with 0, each row at its own places."""
-    rows, n = windows.shape
-    padded = np.concatenate([windows, np.zeros((rows, 1), windows.dtype)], axis=1)
-    position, every = np.zeros(rows, np.int64), np.arange(rows)
-    out, wanted = np.zeros(places.shape, windows.dtype), set(places.ravel().tolist())
-    for step in range(max(wanted) + 1):
-        symbol = padded[every, position]
-        if step in wanted:
-            out = np.where(places == step, symbol[:, None], out)
-        position = np.minimum(position + _walk_bits(repetition, step >> 7)[step & 127, symbol & 1023], n)
-    return out
-
-
 def _repetitions(items: list[np.ndarray], edits: list[int], recall: float) -> list[int]:
-    """For each item the fewest repetitions with which mutated items of its class, cut to the item's size, agree at the target recall.
+    """For each item the fewest walks with which mutated items of its class meet it at the target recall.
 
-    A class holds the items of about one length; each item of it is tried, and TRIALS are made at least. EXACT stands where
-    MOST_REPETITIONS don't reach the target and for items of over MOST_WORDS words: there every placed window is verified.
+    A class holds the items of about one length; each item of it is tried, and TRIALS are made at least (fewer of very long
+    ones). WHOLE stands where MOST_WALKS miss the target: such an item is verified against whole texts.
     """
-    classes: dict[int, list[int]] = {}
+    classes: dict[tuple[int, int], list[int]] = {}
     for k, item in enumerate(items):
-        classes.setdefault(int(np.log(len(item)) / np.log(1.25)), []).append(k)
-    out = [EXACT] * len(items)
-    for members in classes.values():
-        if max(len(items[k]) for k in members) > MOST_WORDS:
-            continue
-        rng, most = random.Random(7), max(len(items[k]) for k in members)
-        tried = [members[k % len(members)] for k in range(max(TRIALS, len(members)))]
-        whole, cut_ = np.zeros((len(tried), most), np.int64), np.zeros((len(tried), most), np.int64)
-        for row, k in enumerate(tried):
-            n, changed = len(items[k]), _mutated(items[k], edits[k], rng)[: len(items[k])]
-            whole[row, :n], cut_[row, : len(changed)] = items[k], changed
-        missed = np.arange(len(tried))
-        for r in range(MOST_REPETITIONS):
-            places = np.array([_places(r, len(items[tried[row]])) for row in missed])
-            missed = missed[(_walks(whole[missed], r, places) != _walks(cut_[missed], r, places)).any(axis=1)]
-            if len(missed) <= (1 - recall) * len(tried):
+        classes.setdefault((int(np.log(len(item)) / np.log(1.25)), _steps(len(item), edits[k])), []).append(k)
+    out = [WHOLE] * len(items)
+    for (_, size), members in classes.items():
+        rng, longest = random.Random(7), max(len(items[k]) for k in members)
+        tried = [members[k % len(members)] for k in range(max(len(members), min(TRIALS, 2_000_000 // longest)))]
+        changed, _, owner = _joined([_mutated(items[k], edits[k], rng) for k in tried])
+        missed = np.ones(len(tried), bool)
+        for walk in range(MOST_WALKS):
+            codes, of, _ = _entries([items[k] for k in tried], [edits[k] for k in tried], walk, size)
+            found = sampled(changed, 0, len(changed), walk, {size})[size][0]
+            with np.errstate(over="ignore"):  # a code meets only its own trial's
+                met = np.isin(found + owner.astype(np.uint64) * _MIX, codes + of.astype(np.uint64) * _MIX) & (found > 0)
+            missed[owner[met]] = False
+            if missed.sum() <= (1 - recall) * len(tried):
                 for k in members:
-                    out[k] = r + 1
+                    out[k] = walk + 1
                 break
     return out
 
 
 def build_index(rows: list[tuple[int, str]], similarity: float = SIMILARITY, recall: float = RECALL) -> Index:
-    """Items with their runs; items of fewer than five words allow no edits, those without a word are left out."""
+    """Items with their samples; items of fewer than five words allow no edits, those without a word are left out."""
     vocabulary: dict[bytes, int] = {}
     ids, items, edits = [], [], []
     for item_id, text in rows:
@@ -211,39 +202,53 @@ def build_index(rows: list[tuple[int, str]], similarity: float = SIMILARITY, rec
             ids.append(item_id)
             items.append(np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in found], np.int64))
             edits.append(allowed(len(found), similarity))
-    by_size: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-    for k, (item, most) in enumerate(zip(items, edits)):
-        size = _run(len(item), most)
-        codes = _codes(item, size)
-        by_size.setdefault(size, []).append((codes, np.full(len(codes), k), np.arange(len(codes))))
-    seeds = {}
-    for size, parts in by_size.items():
-        codes, of, at = (np.concatenate(p) for p in zip(*parts))
-        order = np.argsort(codes, kind="stable")
-        seeds[size] = (codes[order], of[order], at[order])
-    return Index(ids, items, edits, vocabulary, seeds, _repetitions(items, edits, recall))
-
-
-def _placed(symbols: np.ndarray, index: Index) -> Iterator[tuple[int, np.ndarray]]:
-    """(item, the starts at which its intact runs place it), for each item with any."""
-    items, starts = [], []
-    for size, (codes, of, at) in index.seeds.items():
-        here = _codes(symbols, size)
-        places = np.nonzero(here)[0]
-        low, high = np.searchsorted(codes, here[places], "left"), np.searchsorted(codes, here[places], "right")
-        hit = high > low
-        places, low, count = places[hit], low[hit], (high - low)[hit]
-        if not len(places):
-            continue
-        which = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        items.append(of[which])
-        starts.append(np.repeat(places, count) - at[which])
-    if not items:
-        return
-    pairs = np.unique(np.stack([np.concatenate(items), np.concatenate(starts)], axis=1), axis=0)
-    edges = np.r_[0, np.nonzero(np.diff(pairs[:, 0]))[0] + 1, len(pairs)]
-    for a, b in zip(edges, edges[1:]):
-        yield int(pairs[a, 0]), pairs[a:b, 1]
+    walks, tables = _repetitions(items, edits, recall), {}
+    for walk in range(max(walks, default=0)):
+        by_size: dict[int, list[int]] = {}
+        for k, item in enumerate(items):
+            if walk < walks[k]:
+                by_size.setdefault(_steps(len(item), edits[k]), []).append(k)
+        for size, members in by_size.items():
+            codes, of, at = _entries([items[k] for k in members], [edits[k] for k in members], walk, size)
+            order = np.argsort(codes, kind="stable")
+            filled = np.zeros(1 << FILTER_BITS, bool)
+            filled[codes >> np.uint64(64 - FILTER_BITS)] = True
+            tables[walk, size] = filled, codes[order], np.array(members)[of[order]], at[order]
+    return Index(ids, items, edits, vocabulary, walks, tables)
+
+
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
+    """The rows of parts, sorted, each once."""
+    rows = np.concatenate(parts)
+    rows = rows[np.lexsort(rows.T[::-1])]
+    return rows[np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)]]
+
+
+def _met(texts: list[np.ndarray], index: Index) -> Iterator[np.ndarray]:
+    """(item, text, where the item-sized window starts) of windows whose samples agree in some repetition, sorted, some at a time in the texts' order."""
+    symbols, begins, owner = _joined(texts)
+    sizes: dict[int, set[int]] = {}
+    for walk, size in index.tables:
+        sizes.setdefault(walk, set()).add(size)
+    for low in range(0, len(symbols), CHUNK):
+        high, parts = min(low + CHUNK, len(symbols)), []
+        for walk, wanted in sizes.items():
+            for size, (code, _) in sampled(symbols, low, high, walk, wanted).items():
+                filled, codes, of, at = index.tables[walk, size]
+                here = np.nonzero(filled[code >> np.uint64(64 - FILTER_BITS)] & (code > 0))[0]
+                first, last = np.searchsorted(codes, code[here], "left"), np.searchsorted(codes, code[here], "right")
+                here, first, count = here[last > first], first[last > first], (last - first)[last > first]
+                while len(here):  # a sample that many items share is expanded PAIRS at a time
+                    n = max(1, int(np.searchsorted(np.cumsum(count), PAIRS, "right")))
+                    which = np.repeat(first[:n], count[:n]) + np.arange(count[:n].sum()) - np.repeat(np.cumsum(count[:n]) - count[:n], count[:n])
+                    place = np.repeat(here[:n] + low, count[:n])
+                    parts.append(np.stack([of[which], owner[place], place - begins[owner[place]] - at[which]], axis=1))
+                    here, first, count = here[n:], first[n:], count[n:]
+                    if sum(map(len, parts)) >= PAIRS:
+                        yield _distinct(parts)
+                        parts = []
+        if parts:
+            yield _distinct(parts)
 
 
 def _stretches(starts: list[int], n: int, most: int) -> Iterator[tuple[int, int]]:
@@ -261,31 +266,35 @@ def _stretches(starts: list[int], n: int, most: int) -> Iterator[tuple[int, int]
         yield low, high
 
 
+def search_all(texts: list[np.ndarray], index: Index) -> list[list[tuple[int, int, int]]]:
+    """For each text (item's place in the index, distance, last word's place + 1) of each item within its distance, at its nearest place."""
+    best: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
+    for met in _met(texts, index):
+        edges = np.r_[0, np.nonzero((met[1:, :2] != met[:-1, :2]).any(axis=1))[0] + 1, len(met)]
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            item, text = met[a, :2].tolist()
+            _verify(item, met[a:b, 2].tolist(), texts[text], index, best[text])
+    for item, walks in enumerate(index.walks):
+        if walks == WHOLE:
+            for k, text in enumerate(texts):
+                found = edit_distance(index.items[item], text)
+                if found[0] <= index.edits[item]:
+                    best[k][item] = found
+    return [sorted((item, *found) for item, found in b.items()) for b in best]
+
+
+def _verify(item: int, starts: list[int], text: np.ndarray, index: Index, best: dict[int, tuple[int, int]]) -> None:
+    wanted, most = index.items[item], index.edits[item]
+    for low, high in _stretches(starts, len(wanted), most):
+        if best.get(item, (1, 0))[0] == 0:  # starts are in order, so no other copy ends before this one
+            return
+        distance, end = edit_distance(wanted, text[low:high])
+        if distance <= most:
+            best[item] = min(best.get(item, (distance, low + end)), (distance, low + end))
+
+
 def search(symbols: np.ndarray, index: Index) -> list[tuple[int, int, int]]:
-    """(item's place in the index, distance, last word's place + 1) of each item within its distance, at its nearest place."""
-    out = []
-    for item, starts in _placed(symbols, index):
-        wanted, most = index.items[item], index.edits[item]
-        n = len(wanted)
-        padded = np.concatenate([np.zeros(n + most, np.int64), symbols, np.zeros(n + most, np.int64)])
-        view = np.lib.stride_tricks.sliding_window_view(padded, n)
-        best = (most + 1, 0)
-        for a in range(0, len(starts), 4096):
-            part = starts[a : a + 4096]
-            part = part[(part >= -(n + most)) & (part <= len(symbols))]
-            tries = index.repetitions[item]
-            if tries != EXACT:
-                part = part[agree(view[part + n + most], wanted, tries)]
-            for low, high in _stretches(part.tolist(), n, most):
-                distance, end = edit_distance(wanted, symbols[low:high])
-                best = min(best, (distance, low + end))
-                if not best[0]:  # starts are in order, so no other copy ends before this one
-                    break
-            if not best[0]:
-                break
-        if best[0] <= most:
-            out.append((item, *best))
-    return out
+    return search_all([symbols], index)[0]
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -306,7 +315,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     each document row and item that lies in it within the distance, at its nearest and first place.
 
     The benchmark is broadcast in blocks of bounded size and each document is searched whole, alone, without an
-    exchange. Null texts hold nothing; items under five words are found as exact word sequences, those without a word nowhere; repeated rows of docs give
+    exchange. Very long texts are walked and their windows verified some at a time. Null and empty texts hold nothing; items under five words are found as exact word sequences, those without a word nowhere; repeated rows of docs give
     repeated rows, those of benchmark one; empty tables give an empty result.
     """
     fields = "doc_id long, item_id long, distance long, item_words long, last_word long"
@@ -320,11 +329,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
             index = shared.value
             known = index.vocabulary.get
             for batch in batches:
-                found, text = [], batch.column("text")
-                for k, doc in enumerate(batch.column("doc_id").to_pylist()):
-                    here = words(text[k].as_py())
-                    symbols = np.array(list(map(known, here, repeat(0))), np.int64)
-                    found += [(doc, index.ids[i], distance, len(index.items[i]), end) for i, distance, end in search(symbols, index)]
+                here = [np.array(list(map(known, words(t.as_py()), repeat(0))), np.int64) for t in batch.column("text")]
+                rows = zip(batch.column("doc_id").to_pylist(), search_all(here, index))
+                found = [(doc, index.ids[i], distance, len(index.items[i]), end) for doc, every in rows for i, distance, end in every]
                 columns = list(zip(*found)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
 

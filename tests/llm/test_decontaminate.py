@@ -92,27 +92,50 @@ def test_blocks(spark, corpus, monkeypatch):
     assert got == D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).count()
 
 
-def test_repetitions_hold_for_each_length():
+def test_walks_hold_for_each_length():
     rng = random.Random(9)
     say = lambda n: np.array([rng.randint(1, 3000) for _ in range(n)], np.int64)
-    items = [say(8) for _ in range(450)] + [say(400) for _ in range(3)] + [say(2100)]
-    edits = [D.allowed(len(i)) for i in items]
-    tries = D._repetitions(items, edits, D.RECALL)
-    assert len(set(tries[:450])) == 1 and tries[-1] == D.EXACT
-    found = 0
-    for _ in range(120):
-        window = np.zeros(400, np.int64)
-        changed = D._mutated(items[450], edits[450], rng)[:400]
-        window[: len(changed)] = changed
-        found += bool(D.agree(window[None, :], items[450], tries[450])[0]) or tries[450] == D.EXACT
-    assert found >= 117
-
-
-def test_unreached_recall_is_verified_exactly(monkeypatch):
-    monkeypatch.setattr(D, "MOST_REPETITIONS", 1)
+    items = [say(8) for _ in range(450)] + [say(20) for _ in range(3)] + [say(400) for _ in range(3)] + [say(2100)]
+    text = [(k, " ".join(f"w{s}" for s in i.tolist())) for k, i in enumerate(items)]
+    index = D.build_index(text)
+    assert len(set(index.walks[:450])) == 1 and D.WHOLE not in index.walks
+    for at in (0, 451, 454, 456):
+        found = 0
+        for _ in range(150):
+            changed = D._mutated(index.items[at], index.edits[at], rng)
+            near = D.edit_distance(index.items[at], changed)[0]
+            hit = [d for i, d, _ in D.search(np.r_[np.zeros(7, np.int64), changed, np.zeros(9, np.int64)], index) if i == at]
+            found += hit == [near]
+        assert found >= 147
+
+
+def test_few_random_windows_pass(corpus):
+    docs, items = corpus
+    index, rng = D.build_index(items), np.random.default_rng(3)
+    text = rng.integers(1, len(index.vocabulary) + 1, 200_000)
+    windows = len({(i, s) for met in D._met([text], index) for i, _, s in met.tolist()})
+    assert windows < 0.01 * len(text) * len(items)
+
+
+def test_result_comes_from_the_samples(corpus, monkeypatch):
+    docs, items = corpus
+    texts = [[w for w in D.words(t)] for _, t in docs]
+    index = D.build_index(items)
+    symbols = [np.array([index.vocabulary.get(w, 0) for w in t], np.int64) for t in texts]
+    assert any(D.search_all(symbols, index))
+    empty = D.Index(index.ids, index.items, index.edits, index.vocabulary, index.walks, {})
+    assert not any(D.search_all(symbols, empty))
+    monkeypatch.setattr(D, "CHUNK", 16)
+    monkeypatch.setattr(D, "PAIRS", 3)
+    assert D.search_all(symbols, index) == [D.search(s, index) for s in symbols]
+
+
+def test_unreached_recall_is_verified_against_whole_texts(monkeypatch):
+    monkeypatch.setattr(D, "MOST_WALKS", 0)
     rng = random.Random(10)
     item = [f"w{rng.randint(0, 500)}" for _ in range(60)]
     index = D.build_index([(1, " ".join(item))])
+    assert index.walks == [D.WHOLE]
     for _ in range(40):
         changed = list(item)
         for at in rng.sample(range(60), 12):
@@ -121,6 +144,15 @@ def test_unreached_recall_is_verified_exactly(monkeypatch):
         assert [i for i, _, _ in D.search(symbols, index)] == [0]
 
 
+def test_one_run_shared_by_many_items_and_a_long_text():
+    items = [(k, "which of the following statements is true about " + " ".join(f"t{k}x{n}" for n in range(12))) for k in range(300)]
+    index = D.build_index(items)
+    symbols = np.array([index.vocabulary[w] for w in D.words(items[5][1])[:8]] * 400, np.int64)
+    assert D.search(symbols, index) == []
+    planted = np.r_[symbols, [index.vocabulary[w] for w in D.words(items[7][1])]]
+    assert [(i, d) for i, d, _ in D.search(planted, index)] == [(7, 0)]
+
+
 def test_short_and_unspaced_items():
     chinese = "下列哪一项是光合作用的主要产物之一并且储存能量"
     index = D.build_index([(1, "Answer: blue"), (2, "42"), (3, chinese), (4, "..."), (5, "one two three four")])
