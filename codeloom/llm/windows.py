@@ -13,6 +13,9 @@ digest, a few megabytes each, and all stages work on whole buckets:
 
 Anchors that more than HOT places share are split by the whole window's digest, so that a passage in a third of all
 documents is at most one short row from each bucket.
+
+Bytes are sorted by bucket-pointer refinement. Words aren't: there the method is the prefilter, and rows that soon differ
+are cheaper to sort one symbol after the other.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +34,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import buckets_for, cut, texts
 
 HOT = 20_000
-#: Symbols that are searched for anchors at once, and contexts that are classed at once.
-PART, CHUNK = 1 << 18, 20_000
+#: Symbols that are searched for anchors at once, those of one piece of a longer text, and contexts that are classed at once.
+PART, PIECE, CHUNK = 1 << 18, 1 << 24, 20_000
 _NULL = -(1 << 63)
 _POSITION = np.uint64((1 << 28) - 1)
 _TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -64,6 +68,16 @@ class Spec:
         return np.dtype("<u8") if self.words else np.dtype(np.uint8)
 
 
+class Prefilter(Protocol):
+    """Tells each bucket which of its anchors may occur twice in the corpus; it may err only by keeping one that doesn't."""
+
+    def masks(self, held: DataFrame, spec: Spec) -> DataFrame:
+        """Distinct texts -> rows (bucket, ...) that keep reads."""
+
+    def keep(self, hashes: np.ndarray, masks: pa.Table) -> np.ndarray:
+        """Which of a bucket's distinct hashes to keep, by the bucket's rows of masks."""
+
+
 def _symbols(text: bytes, spec: Spec) -> np.ndarray:
     if not spec.words:
         return np.frombuffer(text, np.uint8)
@@ -141,19 +155,32 @@ def _bucket(rows: pa.Table) -> Bucket:
 
 
 def _parts(bucket: Bucket, spec: Spec):
-    """(rows, symbols, starts, ends) of texts in document order, some PART symbols at a time; short texts have no window."""
+    """(rows, symbols, starts, ends, bases) of texts in document order, some PART symbols at a time; short texts have no window.
+
+    A text of over PIECE symbols comes in pieces that begin bases symbols into it and share window - 1 symbols with the
+    next, so each window lies in one piece and places inside a part stay small whatever a text's length.
+    """
     order = sorted(range(len(bucket.ids)), key=lambda k: (bucket.ids[k], k))
-    rows, arrays, total = [], [], 0
-    for n, k in enumerate(order):
+    rows, arrays, bases, total = [], [], [], 0
+
+    def part():
+        ends = np.cumsum([len(a) for a in arrays])
+        return np.array(rows), np.concatenate(arrays), np.r_[0, ends[:-1]], ends, np.array(bases)
+
+    for k in order:
         array = _symbols(bucket.texts[k], spec)
-        if len(array) >= spec.window:
-            rows.append(k)
-            arrays.append(array)
-            total += len(array)
-        if rows and (total >= PART or n == len(order) - 1):
-            ends = np.cumsum([len(a) for a in arrays])
-            yield np.array(rows), np.concatenate(arrays), np.r_[0, ends[:-1]], ends
-            rows, arrays, total = [], [], 0
+        for base in range(0, max(1, len(array) - spec.window + 1), PIECE):
+            piece = array[base : base + PIECE + spec.window - 1]
+            if len(piece) >= spec.window:
+                rows.append(k)
+                arrays.append(piece)
+                bases.append(base)
+                total += len(piece)
+            if total >= PART:
+                yield part()
+                rows, arrays, bases, total = [], [], [], 0
+    if rows:
+        yield part()
 
 
 def _range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
@@ -203,20 +230,27 @@ def distinct_texts(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, "bucket int, digest binary, doc_id long, packed binary")
 
 
-def repeated_anchors(held: DataFrame, spec: Spec, ranges: int, keep: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+def anchor_counts(bucket: Bucket, spec: Spec) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of a bucket's anchors, in order, and how often each occurs."""
+    found = [anchors(symbols, ends, spec)[3] for _, symbols, _, ends, _ in _parts(bucket, spec)]
+    return np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
+
+
+def repeated_anchors(held: DataFrame, spec: Spec, ranges: int, prefilter: Prefilter | None = None) -> DataFrame:
     """(bucket, n_run int, packed): for each bucket the anchor hashes that occur at least twice, the last n_run of them at
-    more than HOT places. keep is a prefilter that may drop hashes that occur once."""
-
-    def list_hashes(rows: pa.Table) -> pa.Table:
-        at, found = rows.column("bucket")[0].as_py(), []
-        for _, symbols, _, ends in _parts(_bucket(rows), spec):
-            found.append(anchors(symbols, ends, spec)[3])
-        hashes, counts = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
-        if keep is not None and len(hashes):
-            kept = keep(hashes)
+    more than HOT places. prefilter may drop hashes that occur once in the corpus before they leave their bucket."""
+
+    def list_hashes(rows: pa.Table, masks: pa.Table | None = None) -> pa.Table:
+        fields = "range int, bucket int, packed binary"
+        if not len(rows):
+            return _table(fields, [])
+        at = rows.column("bucket")[0].as_py()
+        hashes, counts = anchor_counts(_bucket(rows), spec)
+        if masks is not None:
+            kept = prefilter.keep(hashes, masks)
             hashes, counts = hashes[kept], counts[kept]
         out = [(r, at, h.astype("<u8").tobytes() + np.minimum(c, HOT + 1).astype("<u2").tobytes()) for r, h, c in _split_by(_range_of(hashes, ranges), hashes, counts)]
-        return _table("range int, bucket int, packed binary", out)
+        return _table(fields, out)
 
     def find_repeated(rows: pa.Table) -> pa.Table:
         hashes, counts, owners = [], [], []
@@ -235,7 +269,11 @@ def repeated_anchors(held: DataFrame, spec: Spec, ranges: int, keep: Callable[[n
             out.append((b, int((n > HOT).sum()), part.astype("<u8").tobytes()))
         return _table("bucket int, n_run int, packed binary", out)
 
-    listed = held.groupBy("bucket").applyInArrow(list_hashes, "range int, bucket int, packed binary")
+    by_bucket, fields = held.groupBy("bucket"), "range int, bucket int, packed binary"
+    if prefilter:
+        listed = by_bucket.cogroup(prefilter.masks(held, spec).groupBy("bucket")).applyInArrow(list_hashes, fields)
+    else:
+        listed = by_bucket.applyInArrow(lambda rows: list_hashes(rows), fields)
     return listed.groupBy("range").applyInArrow(find_repeated, "bucket int, n_run int, packed binary")
 
 
@@ -253,7 +291,7 @@ def _contexts(bucket_id: int, bucket: Bucket, spec: Spec, light: np.ndarray, hea
     wanted = np.sort(np.r_[light, heavy])
     ids = np.array(bucket.ids, np.int64)
     column = np.arange(spec.width)
-    for of, symbols, starts, ends in _parts(bucket, spec):
+    for of, symbols, starts, ends, bases in _parts(bucket, spec):
         at, low, high, hashes = anchors(symbols, ends, spec)
         chosen = np.isin(hashes, wanted)
         at, low, high, hashes = at[chosen], low[chosen], high[chosen], hashes[chosen]
@@ -261,11 +299,12 @@ def _contexts(bucket_id: int, bucket: Bucket, spec: Spec, light: np.ndarray, hea
             continue
         text = np.searchsorted(starts, at, "right") - 1
         place = np.empty(len(at), _ROW)
-        place["hash"], place["doc"], place["row"], place["at"] = hashes, ids[of[text]], of[text], at - starts[text]
+        begin = starts - bases  # where the texts themselves begin
+        place["hash"], place["doc"], place["row"], place["at"] = hashes, ids[of[text]], of[text], at - begin[text]
         place["low"], place["high"] = at - high, at - low
         hot = np.isin(hashes, heavy) if len(heavy) else np.zeros(len(at), bool)
         for n in np.nonzero(hot)[0].tolist():
-            doc, row, first = int(place["doc"][n]), int(place["row"][n]), int(starts[text[n]])
+            doc, row, first = int(place["doc"][n]), int(place["row"][n]), int(begin[text[n]])
             for p in range(int(low[n]), int(high[n]) + 1):
                 key = hashlib.blake2b(symbols[p : p + spec.window].tobytes(), digest_size=16).digest()
                 if key in seen and (not spec.strict or seen[key] < doc):
@@ -325,27 +364,54 @@ def _merged(runs: np.ndarray) -> np.ndarray:
     return out
 
 
-def _refined(columns: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket-pointer refinement: rows of columns sorted inside their buckets, and how many columns each row
-    shares with the one before (0 at a bucket's first).
+def _pointers(columns: np.ndarray) -> np.ndarray:
+    """Bucket-pointer refinement of the suffixes that begin q symbols apart in each row: (row, suffix) -> its bucket's pointer.
 
-    A row's bucket pointer is the place where its bucket begins. Each pass sorts the rows of buckets that still
-    hold several by (bucket pointer, identifier of the gram at the next offset) and points them into the finer
-    buckets; later passes start from those pointers. Rows alone in their bucket take no further part.
+    Suffixes start in the buckets of their first q symbols. From the last one backwards a suffix is refined by sorting on
+    (its bucket, the pointer of the suffix q symbols later); its new pointer replaces the old one and is what the suffix
+    before it is sorted by, so no symbol is compared twice. Equal pointers of one suffix mean equal rests of the rows.
     """
     n, width = columns.shape
     size = 8 // columns.dtype.itemsize
     steps = -(-width // size)
     padded = np.zeros((n, steps * size), columns.dtype)
     padded[:, :width] = columns
+    pointer = np.empty((n, steps), np.int64)
     grams = padded.view(">u8").reshape(n, steps) if size > 1 else padded
-    order = np.argsort(bucket, kind="stable")
-    value = bucket[order]
-    pointer = np.empty(n, np.int64)
-    begins = np.r_[True, value[1:] != value[:-1]]
-    pointer[order] = np.maximum.accumulate(np.where(begins, np.arange(n), 0))
     for step in range(steps):
-        where = pointer[order]
+        pointer[:, step] = np.unique(grams[:, step], return_inverse=True)[1]
+    for step in range(steps - 2, -1, -1):
+        pointer[:, step] = np.unique(pointer[:, step] * n + pointer[:, step + 1], return_inverse=True)[1]
+    return pointer
+
+
+def _shared(columns: np.ndarray, group: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """How many columns each row shares with the one before in order, 0 at a group's first."""
+    shared = np.zeros(len(order), np.int64)
+    if len(order) > 1:
+        differ = columns[order[1:]] != columns[order[:-1]]
+        shared[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), columns.shape[1])
+        value = group[order]
+        shared[1:][value[1:] != value[:-1]] = 0
+    return shared
+
+
+def _suffix_order(columns: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows sorted inside their groups by the refined pointers of their first suffixes, and what neighbours share."""
+    order = np.lexsort((_pointers(columns)[:, 0], group))
+    return order, _shared(columns, group, order)
+
+
+def _row_order(columns: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows sorted inside their groups symbol by symbol, rows alone in their bucket taking no further part, and what neighbours share."""
+    n, width = columns.shape
+    order = np.argsort(group, kind="stable")
+    value = group[order]
+    begins = np.r_[True, value[1:] != value[:-1]]
+    bucket = np.empty(n, np.int64)
+    bucket[order] = np.maximum.accumulate(np.where(begins, np.arange(n), 0))
+    for step in range(width):
+        where = bucket[order]
         crowd = np.zeros(n, bool)
         same = where[1:] == where[:-1]
         crowd[1:] |= same
@@ -354,19 +420,13 @@ def _refined(columns: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.nd
         if not len(places):
             break
         rows = order[places]
-        gram = grams[rows, step].astype(np.uint64)
-        by = np.lexsort((gram, pointer[rows]))
-        rows, gram, held = rows[by], gram[by], pointer[rows][by]
+        symbol = columns[rows, step]
+        by = np.lexsort((symbol, bucket[rows]))
+        rows, symbol, held = rows[by], symbol[by], bucket[rows][by]
         order[places] = rows
-        begins = np.r_[True, (held[1:] != held[:-1]) | (gram[1:] != gram[:-1])]
-        pointer[rows] = places[np.maximum.accumulate(np.where(begins, np.arange(len(rows)), 0))]
-    shared = np.zeros(n, np.int64)
-    if n > 1:
-        differ = columns[order[1:]] != columns[order[:-1]]
-        shared[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
-        value = bucket[order]
-        shared[1:][value[1:] != value[:-1]] = 0
-    return order, shared
+        begins = np.r_[True, (held[1:] != held[:-1]) | (symbol[1:] != symbol[:-1])]
+        bucket[rows] = places[np.maximum.accumulate(np.where(begins, np.arange(len(rows)), 0))]
+    return order, _shared(columns, group, order)
 
 
 def later_windows(context: np.ndarray, group: np.ndarray, low: np.ndarray, high: np.ndarray, doc: np.ndarray, spec: Spec) -> tuple[np.ndarray, np.ndarray]:
@@ -377,8 +437,9 @@ def later_windows(context: np.ndarray, group: np.ndarray, low: np.ndarray, high:
     and enough to the left: both sorted orders are cut where neighbours share too few.
     """
     n = len(context)
-    right, after = _refined(context[:, spec.left :], group)
-    left, before = _refined(np.ascontiguousarray(context[:, : spec.left][:, ::-1]), group)
+    sort = _row_order if spec.words else _suffix_order
+    right, after = sort(context[:, spec.left :], group)
+    left, before = sort(np.ascontiguousarray(context[:, : spec.left][:, ::-1]), group)
     begins_right = np.r_[True, group[right][1:] != group[right][:-1]]
     begins_left = np.r_[True, group[left][1:] != group[left][:-1]]
     rows_out, offsets_out = [], []
@@ -467,18 +528,17 @@ def _removed(bucket: Bucket, runs: np.ndarray, spec: Spec) -> pa.Table:
     return _table(_RESULT, out)
 
 
-def remove_repeats(docs: DataFrame, spec: Spec, prefilter: Callable[[DataFrame, int], Callable[[np.ndarray], np.ndarray]] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, spec: Spec, prefilter: Callable[[int], Prefilter] | None = None) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, n_units, n_removed, n_spans, kept_sha256), a row for every row of docs.
 
     Removed is each symbol that a window covers which also starts earlier, judged on the input. Null texts are
     empty. A null doc_id comes before all others. Rows that repeat a doc_id and its text are one document; different
-    texts with one doc_id are ordered by their SHA-256. An empty table gives an empty result.
+    texts with one doc_id are ordered by their SHA-256. A text may have up to 2**32 symbols. An empty table gives an empty result.
     """
     buckets = buckets_for(docs)
     rows = texts(docs).select(F.coalesce("doc_id", F.lit(_NULL)).alias("doc_id"), F.unhex(F.sha2(F.col("text"), 256)).alias("digest"), "text")
     held = distinct_texts(rows, buckets)
-    keep = prefilter(held, buckets) if prefilter else None
-    repeated = repeated_anchors(held, spec, buckets // 4 + 8, keep)
+    repeated = repeated_anchors(held, spec, buckets // 4 + 8, prefilter(buckets) if prefilter else None)
     ranges = 2 * buckets + 8
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:

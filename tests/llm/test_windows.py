@@ -38,7 +38,7 @@ def by_hand(spec, docs, hot, buckets=3):
         held[int.from_bytes(digest[:4], "big") * buckets >> 32].append((digest, doc, pack.compress(text.encode())))
     tables = [pa.table({"bucket": pa.array([k] * len(h), pa.int32()), "digest": pa.array([x[0] for x in h], pa.binary()), "doc_id": pa.array([x[1] for x in h], pa.int64()), "packed": pa.array([x[2] for x in h], pa.binary())}) for k, h in enumerate(held)]
     made = [windows._bucket(t) for t in tables]
-    hashes = np.unique(np.concatenate([windows.anchors(s, e, spec)[3] for b in made for _, s, _, e in windows._parts(b, spec)]))
+    hashes = np.unique(np.concatenate([windows.anchors(s, e, spec)[3] for b in made for _, s, _, e, _ in windows._parts(b, spec)]))
     heavy = hashes[:: hot] if hot else hashes[:0]
     light = np.setdiff1d(hashes, heavy)
     sent = pa.concat_tables([windows._contexts(k, b, spec, light, heavy, 4) for k, b in enumerate(made)])
@@ -80,35 +80,73 @@ def test_whole_operator(messy, rows, words):
     assert got == sorted((str(d), *want[(-1 if d is None else d, hashlib.sha256((t or "").encode()).digest())]) for d, t in rows)
 
 
-def test_refinement_orders_and_measures():
+@pytest.mark.parametrize("words", [False, True])
+def test_long_texts_in_pieces(words, monkeypatch):
+    monkeypatch.setattr(windows, "PIECE", 23)
+    monkeypatch.setattr(windows, "PART", 40)
+    rng = random.Random(7)
+    spec = Spec(10, 4, words, strict=words)
+    piece = lambda n: "".join(rng.choice(["a ", "b "] if words else "ab") for _ in range(n))
+    passage = piece(70)
+    docs = [(k, piece(rng.randint(0, 90)) + passage + piece(rng.randint(0, 90))) for k in range(8)]
+    assert by_hand(spec, docs, 0) == by_hand(spec, docs, 2) == brute([(k, k, t) for k, t in docs], spec)
+
+
+def test_orders_and_measures():
     rng = np.random.default_rng(3)
-    for kind in (np.uint8, np.uint64):
+    for kind, sort in ((np.uint8, windows._suffix_order), (np.uint64, windows._suffix_order), (np.uint64, windows._row_order)):
         columns = rng.integers(0, 2, (300, 21)).astype(kind)
-        bucket = rng.integers(0, 4, 300)
-        order, shared = windows._refined(columns, bucket)
-        keys = [(bucket[k], columns[k].tolist()) for k in order]
+        group = rng.integers(0, 4, 300)
+        order, shared = sort(columns, group)
+        keys = [(group[k], columns[k].tolist()) for k in order]
         assert keys == sorted(keys)
         for (b0, c0), (b1, c1), n in zip(keys, keys[1:], shared[1:]):
             assert n == (0 if b0 != b1 else next((k for k in range(21) if c0[k] != c1[k]), 21))
 
 
-def test_sketch_never_underestimates(spark):
-    rows = [(k, "w%d " % (k % 5) * 60 + " ".join(f"{k}_{j}" for j in range(80))) for k in range(12)]
-    from pyspark.sql import functions as F
-
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.unhex(F.sha2("text", 256)))
-    held = windows.distinct_texts(docs.select("doc_id", "digest", "text"), 4)
-    spec = Spec(50, 16, True, True)
-    cells = substring_dedup.count_min(held, spec, 16)
-    counts = {}
-    for _, text in rows:
-        a = windows._symbols(text.encode(), spec)
-        for h in windows.anchors(a, np.array([len(a)]), spec)[3].tolist():
-            counts[h] = counts.get(h, 0) + 1
-    for h, n in counts.items():
-        at = [int(substring_dedup._cells(np.array([h], np.uint64), r, 16)[0]) for r in range(2)]
-        if n > 1:
-            assert all(cells[r][x >> 3] >> (7 - (x & 7)) & 1 for r, x in enumerate(at))
+def test_refinement_reads_updated_pointers():
+    """Two rows that differ in their last gram alone: each earlier suffix can only tell them apart by its successor's new pointer."""
+    columns = np.full((3, 40), 7, np.uint8)
+    columns[1, 39] = 9
+    pointer = windows._pointers(columns)
+    assert pointer.shape == (3, 5)
+    for step in range(5):
+        assert pointer[0, step] == pointer[2, step] < pointer[1, step]
+    rng = np.random.default_rng(5)
+    columns = rng.integers(0, 2, (200, 33)).astype(np.uint8)
+    pointer = windows._pointers(columns)
+    for step in range(pointer.shape[1]):
+        rests = [columns[k, 8 * step :].tobytes() for k in range(200)]
+        assert [sorted(set(rests)).index(r) for r in rests] == pointer[:, step].tolist()
+
+
+@pytest.mark.parametrize("bits", [4, 22])
+def test_sketch_never_underestimates(spark, bits):
+    sketch = substring_dedup.CountMin(1 << 12, bits)
+    assert sketch.bits == max(12, bits)
+    spec, rng, held = Spec(5, 2, True, True), random.Random(bits), []
+    for k in range(9):
+        text = " ".join(f"w{rng.randint(0, 300 if k else 10)}" for _ in range(400)).encode()
+        held.append(windows.Bucket([bytes([k])], [k], [text]))
+    counts, kept, single = {}, [], 0
+    for b in held:
+        for h, n in zip(*(a.tolist() for a in windows.anchor_counts(b, spec))):
+            counts[h] = counts.get(h, 0) + n
+    pack = zstandard.ZstdCompressor()
+    frame = spark.createDataFrame([(k, b.digests[0], k, pack.compress(b.texts[0])) for k, b in enumerate(held)], "bucket int, digest binary, doc_id long, packed binary")
+    masks = sketch.masks(frame, spec).toArrow()
+    for k, b in enumerate(held):
+        hashes = windows.anchor_counts(b, spec)[0]
+        keep = sketch.keep(hashes, masks.filter(pa.compute.equal(masks["bucket"], k)))
+        assert all(keep[n] for n, h in enumerate(hashes.tolist()) if counts[h] > 1)
+        kept.append(keep.mean())
+        single += sum(1 for n, h in enumerate(hashes.tolist()) if counts[h] == 1 and not keep[n])
+    assert single > (0 if bits == 4 else 20)
+
+
+def test_sketch_of_few_cells_loses_nothing(spark, messy):
+    narrow = substring_dedup.remove_repeated_words(messy, cells=16).collect()
+    assert sorted(map(str, narrow)) == sorted(map(str, substring_dedup.remove_repeated_words(messy).collect()))
 
 
 def test_empty(nothing):
