@@ -25,23 +25,30 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(setting, str(BATCH_ROWS))
 
 
+def id_type(docs: DataFrame, name: str = "doc_id") -> str:
+    """binary for binary ids, long for all others."""
+    return "binary" if docs.schema[name].dataType.typeName() == "binary" else "long"
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, so that no other column of the input can clash; a null text is empty."""
     small_batches(docs.sparkSession)
     return docs.select(
-        docs["doc_id"].cast("long").alias("doc_id"),
+        docs["doc_id"].cast(id_type(docs)).alias("doc_id"),
         F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"),
     )
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset and all runs on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-        found = os.path.join(tempfile.gettempdir(), f"codeloom-{uuid.uuid4().hex}")
+        context = spark.sparkContext
+        if not context._jsc.sc().getCheckpointDir().isDefined():
+            if not context.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            context.setCheckpointDir(os.path.join(tempfile.gettempdir(), f"codeloom-{uuid.uuid4().hex}"))
+        found = context._jsc.sc().getCheckpointDir().get()
     return found
 
 
@@ -73,18 +80,22 @@ def hex16(column: Column) -> Column:
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
 
-KEY = "_row_key"
-#: Keys that are broadcast at most (8 bytes each); more are joined by an exchange.
+#: Keys that are broadcast at most (16 bytes each); more are joined by an exchange.
 BROADCAST_KEYS = 500_000
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with KEY, a hash of doc_id and text that equal rows share; nulls have keys too."""
-    return docs.withColumn(KEY, F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string")))
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a column of 128-bit hashes of doc_id and text, which equal rows share, and that column's name, new to docs."""
+    name = "_row_key"
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    of = docs["doc_id"].cast("long"), docs["text"].cast("string")
+    key = F.unhex(F.concat(hex16(F.xxhash64(*of)), hex16(F.xxhash64(F.lit("second"), *of))))
+    return docs.withColumn(name, key), name
 
 
-def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """keyed docs less the rows whose KEY is in keys(doc_id), with KEY dropped. Few keys are broadcast, which leaves the texts where they are."""
-    gone = cut(keys.select(F.col("doc_id").alias(KEY)).distinct())
+def without(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """keyed docs less the rows whose key is in gone(doc_id), with the key dropped. Few keys are broadcast, which leaves the texts where they are."""
+    gone = cut(gone.select(F.col("doc_id").alias(key)).distinct())
     few = gone.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    return docs.join(F.broadcast(gone) if few else gone, KEY, "left_anti").drop(KEY)
+    return docs.join(F.broadcast(gone) if few else gone, key, "left_anti").drop(key)

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import texts
+from .common import id_type, texts
 
 SIMILARITY, RECALL = 0.8, 0.995
 #: Steps of a walk at most, places that a repetition samples of them, and most walks.
@@ -318,9 +318,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     exchange. Very long texts are walked and their windows verified some at a time. Null and empty texts hold nothing; items under five words are found as exact word sequences, those without a word nowhere; repeated rows of docs give
     repeated rows, those of benchmark one; empty tables give an empty result.
     """
-    fields = "doc_id long, item_id long, distance long, item_words long, last_word long"
-    schema = pa.schema([(f.split()[0], pa.int64()) for f in fields.split(", ")])
     rows, out = texts(docs), None
+    kind = id_type(rows)
+    fields = f"doc_id {kind}, item_id long, distance long, item_words long, last_word long"
+    schema = pa.schema([(f.split()[0], pa.binary() if f.endswith("binary") else pa.int64()) for f in fields.split(", ")])
     context = docs.sparkSession.sparkContext
     for block in _blocks(benchmark):
         shared = context.broadcast(build_index(block, similarity, recall))
@@ -333,7 +334,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
                 rows = zip(batch.column("doc_id").to_pylist(), search_all(here, index))
                 found = [(doc, index.ids[i], distance, len(index.items[i]), end) for doc, every in rows for i, distance, end in every]
                 columns = list(zip(*found)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
         part = rows.mapInArrow(run, fields)
         out = part if out is None else out.unionByName(part)

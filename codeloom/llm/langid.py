@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import cut, small_batches
+from .common import cut, id_type, small_batches
 
 #: Labelled rows of each language that the text likelihoods are fitted on at most: those of least hashed id and text.
 SAMPLE = 3000
@@ -114,8 +114,9 @@ def text_evidence(rows: DataFrame, model: Model) -> DataFrame:
     without letters and for one of FEW trigrams or more that no language explains.
     """
     small_batches(rows.sparkSession)
-    fields = "id long, declared string, suffix string, domain string, host string, evidence array<double>, typical boolean"
-    schema = pa.schema([("id", pa.int64()), *((n, pa.string()) for n in ("declared", "suffix", "domain", "host")), ("evidence", pa.list_(pa.float64())), ("typical", pa.bool_())])
+    kind = id_type(rows, "id")
+    fields = f"id {kind}, declared string, suffix string, domain string, host string, evidence array<double>, typical boolean"
+    schema = pa.schema([("id", pa.binary() if kind == "binary" else pa.int64()), *((n, pa.string()) for n in ("declared", "suffix", "domain", "host")), ("evidence", pa.list_(pa.float64())), ("typical", pa.bool_())])
 
     def run(batches):
         for batch in batches:
@@ -171,7 +172,7 @@ def fuse(rows: DataFrame, model: Model) -> DataFrame:
     # how often a declaration goes with a language: a row for each declared value
     declared = rows.where(F.col("declared").isNotNull()).groupBy("declared").agg(*(F.sum(f"q{k}").alias(f"d{k}") for k in range(n)))
     totals = rows.where(F.col("declared").isNotNull()).agg(*(F.coalesce(F.sum(f"q{k}"), F.lit(0.0)).alias(f"t{k}") for k in range(n)))
-    declared = declared.crossJoin(F.broadcast(totals)).select("declared", *(F.log((F.col(f"d{k}") + 0.1) / (F.col(f"t{k}") + 1.0) * (1 - DOUBT) + DOUBT / 4).alias(f"e{k}") for k in range(n)))
+    declared = declared.crossJoin(F.broadcast(totals)).select("declared", *(F.log((F.col(f"d{k}") + 0.1) / (F.col(f"t{k}") + 1.0) * (1 - DOUBT) + DOUBT / n).alias(f"e{k}") for k in range(n)))
     joined = rows.join(hosts.withColumnRenamed("n", "hn"), ["suffix", "domain", "host"]).join(declared, "declared", "left")
     one = F.col("typical").cast("double")
     scores = []
@@ -235,7 +236,7 @@ def identify_documents(docs: DataFrame, model: Model) -> DataFrame:
     The column lang is the declared language and source the host; nulls and repeated rows as in identify_pages.
     """
     rows = docs.select(
-        docs["doc_id"].cast("long").alias("id"), docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("declared"),
+        docs["doc_id"].cast(id_type(docs)).alias("id"), docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("declared"),
         F.lit("").alias("suffix"), F.lit("").alias("domain"), F.coalesce(docs["source"].cast("string"), F.lit("")).alias("host"),
     )
     return fuse(text_evidence(rows, model), model).withColumnRenamed("id", "doc_id")

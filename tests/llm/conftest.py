@@ -3,7 +3,7 @@ import random
 import pytest
 
 #: Column names that operators use themselves.
-CLASHES = "fp fingerprint component_id digest n_bytes n_tokens bucket packed size h shard slot start length spans path id key label".split()
+CLASHES = "fp fingerprint component_id digest n_bytes n_tokens bucket packed size h shard slot start length spans path id key label _row_key".split()
 
 
 @pytest.fixture(scope="session")

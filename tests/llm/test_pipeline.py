@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from codeloom.llm import decontaminate, pii, queries, simhash
+from codeloom.llm import decontaminate, jaccard, pii, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,20 +30,20 @@ def test_columns_and_shrinking(stages):
 
 def test_each_stage_against_brute_force(stages, spark):
     ids = [{r["doc_id"] for r in rows} for _, rows in stages[:5]]
-    prints = {r["doc_id"]: simhash.fingerprint((r["text"] or "").encode()) for r in stages[1][1]}
-    up = {d: d for d in prints}
+    sets = {r["doc_id"]: jaccard.shingles((r["text"] or "").encode()) for r in stages[1][1]}
+    up = {d: d for d in sets}
 
     def find(d):
         while up[d] != d:
             d = up[d]
         return d
 
-    for a in prints:
-        for b in prints:
-            if a < b and ((prints[a] ^ prints[b]) & (2**64 - 1)).bit_count() <= 2:
+    for a in sets:
+        for b in sets:
+            if a < b and jaccard.alike(sets[a], sets[b]):
                 x, y = find(a), find(b)
                 up[max(x, y)] = min(x, y)
-    assert ids[2] == {d for d in prints if find(d) == d}
+    assert ids[2] == {d for d in sets if find(d) == d}
     bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     index = decontaminate.build_index(bench)
     for r in stages[2][1]:
