@@ -4,6 +4,8 @@ import re
 
 from codeloom.llm import pii
 
+from .pii_sentences import SENTENCES
+
 PLAIN = [re.compile(p) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 
@@ -63,3 +65,48 @@ def test_rows_and_redaction(messy, rows, nothing, spark):
     docs = spark.createDataFrame([(1, "x a@b.cd é", 9), (2, None, None)], "doc_id long, text string, n_chars long")
     assert [tuple(r) for r in pii.redact_texts(docs).orderBy("doc_id").collect()] == [(1, "x [EMAIL] é", 11), (2, None, None)]
     assert pii.find_personal_data(nothing).collect() == []
+
+
+def test_sentences_written_by_hand():
+    """Recall of the generators, and recall and precision of what the trees choose, on text that no generator of this library made."""
+    fitted = pii.model()
+    wanted = proposed = right = chosen = 0
+    for text, spans in SENTENCES:
+        base = pii.base_spans(text)
+        found = {text[s:e] for _, s, e in pii.added_spans(text, base, *fitted)}
+        wanted += len(spans)
+        proposed += sum(any(text[s:e] == w for _, s, e in pii.candidates(text)) for w in spans)
+        right += len(found & set(spans))
+        chosen += len(found)
+    print(f"wanted {wanted}, proposed {proposed}, chosen {chosen}, right {right}")
+    assert proposed >= 0.9 * wanted and right >= 0.75 * wanted and right >= 0.9 * chosen
+
+
+def test_trees_decide(monkeypatch):
+    """The same candidates with trees that say no give nothing, with trees that say yes more than are right."""
+    fitted, limits = pii.model()
+    texts = [t for t, _ in SENTENCES]
+    count = lambda limits: sum(len(pii.added_spans(t, pii.base_spans(t), fitted, limits)) for t in texts)
+    assert count((2.0,) * 4) == 0 < count(limits) < count((0.0,) * 4)
+
+
+def test_long_obfuscated_address_is_one_span():
+    fitted = pii.model()
+    long = "a" * 100 + ".b [at] " + ".".join("x" * 70 for _ in range(9)) + ".org"
+    assert (0, 6, 6 + len(long)) in pii.candidates("mail: " + long + " now")
+    text = "mail: " + long + " now"
+    assert pii.redacted(text, pii.added_spans(text, [], fitted[0], (0.0,) * 4)) == "mail: [EMAIL] now"
+
+
+def test_time_grows_with_the_text():
+    import time
+
+    fitted = pii.model()
+    took = []
+    for n in (2000, 16000):
+        text = "mail a.b@c.de, call 030 1234567 or (555) 123-4567 from 10.0.0.1; " * n
+        start = time.perf_counter()
+        base = pii.base_spans(text[: len(text) // 8])
+        pii.added_spans(text[: len(text) // 8], base, *fitted)
+        took.append(time.perf_counter() - start)
+    assert took[1] < 24 * took[0]
