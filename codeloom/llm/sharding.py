@@ -12,6 +12,8 @@ TOLERANCE = 0.002
 FIRST_BITS, NEXT_BITS = 12, 8
 #: Rows that one task numbers at most on average.
 ROWS_A_TASK = 100_000
+#: Ranges of the key that rows are numbered in, as bits, at most.
+RANGE_BITS = 16
 _TOP = -(1 << 63)
 
 
@@ -118,18 +120,19 @@ def shard_rows(rows: DataFrame, shards: int, tolerance: float = TOLERANCE, rows_
 
     Histogram sort on the key (h, doc_id): splitters are refined by exact counts, then rows are exchanged
     once, to ranges of the key far smaller than a shard, and numbered there; slots follow the key except
-    inside a range that is split further because equal keys crowd it. Slots of a shard run gapless from 0.
-    Empty input gives an empty result; null doc_ids sort first; repeated rows each get a slot of their own.
+    inside a range that is split further by its count. Rows that repeat doc_id, text and size share a salt. Slots of a shard run
+    gapless from 0. Empty input gives an empty result; null doc_ids sort first; repeated rows each get a slot of their own.
     """
     bounds = splitters(rows, shards, tolerance)
     n = rows.count()
-    bits = max(1, min(16, (max(1, n // rows_a_task) * 8).bit_length()))
+    bits = max(1, min(RANGE_BITS, (max(1, n // rows_a_task) * 8).bit_length()))
     ranged = rows.withColumn("shard", _shard(bounds)).withColumn("range", F.shiftrightunsigned("h", 64 - bits))
-    hot = [r["range"] for r in ranged.groupBy("range").count().where(F.col("count") > 4 * rows_a_task).collect()]
-    salts = max(1, n // rows_a_task)
-    salt = F.when(F.col("range").isin(hot), F.pmod(F.xxhash64("doc_id", "h"), F.lit(salts))).otherwise(F.lit(0)) if hot else F.lit(0).cast("long")
-    ranged = ranged.withColumn("salt", salt)
-    # At most 2**16 ranges, plus shards and the salts of hot ones: a table of counts, not of rows.
+    # A range of many rows is split by its own count, so that no task numbers many more than rows_a_task. At most 2**RANGE_BITS ranges.
+    ranges = ranged.groupBy("range").count().where(F.col("count") > 4 * rows_a_task)
+    ranges = cut(ranges.select("range", F.ceil(F.col("count") / rows_a_task).cast("long").alias("salts")))
+    salt = F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id", "h", "size"), F.col("salts"))).cast("long")
+    ranged = ranged.join(F.broadcast(ranges), "range", "left").withColumn("salt", salt).drop("salts")
+    # shards, ranges and salts: a table of counts, a row for some rows_a_task rows or range, not for each row
     counts = ranged.groupBy("shard", "range", "salt").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("range", "salt").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("shard", "range", "salt", F.coalesce(before, F.lit(0)).alias("offset"))
@@ -142,7 +145,8 @@ def histogram_shards(docs: DataFrame, shards: int = 24, tolerance: float = TOLER
     """docs(doc_id, text, ...) -> (doc_id, size, text_crc32, h, shard, slot): every row in one of shards shards.
 
     size is the text's UTF-8 bytes plus 8 (null text: 8). The key's first part is a hash of the text, so
-    equal texts stay neighbours and a shard boundary only parts them where the tolerance leaves no choice.
+    equal texts stay neighbours and a shard boundary only parts them where the tolerance leaves no choice. Texts of any length
+    count by their bytes alone; an empty table gives an empty result.
     """
     text = docs["text"].cast("string")
     keys = docs.select(

@@ -41,6 +41,41 @@ def test_hot_ranges_are_split(spark):
     check(got, 5, 40)
 
 
+def test_shards_are_cuts_of_the_sorted_keys(spark):
+    """Against sorting everything: shards follow the key's order, and each cut is the best one within the tolerance."""
+    rng = random.Random(12)
+    rows = [(rng.getrandbits(64) - 2**63, k, rng.randint(8, 60)) for k in range(1500)]
+    got = sharding.shard_rows(spark.createDataFrame(rows, "h long, doc_id long, size long"), 6, tolerance=0.01).collect()
+    ordered = sorted(got, key=lambda r: (r["h"] & (2**64 - 1), r["doc_id"]))
+    shards = [r["shard"] for r in ordered]
+    assert shards == sorted(shards)
+    total = sum(r["size"] for r in ordered)
+    for k in range(1, 6):
+        cut = sum(r["size"] for r in ordered if r["shard"] < k)
+        assert abs(cut - total * k // 6) <= max(0.01 * total / 6, 60)
+
+
+def test_salts_follow_each_ranges_own_count(spark, monkeypatch):
+    """Few ranges, all crowded: groups stay near one for rows_a_task rows, where a salt of all rows' number would give one a row."""
+    rows = spark.createDataFrame([(k * 0x9E3779B97F4A7C15 % 2**64 - 2**63, k, 10) for k in range(8000)], "h long, doc_id long, size long")
+    groups = []
+    plain = sharding.Window.partitionBy
+
+    def spy(*names):
+        groups.append(names)
+        return plain(*names)
+
+    monkeypatch.setattr(sharding.Window, "partitionBy", spy)
+    monkeypatch.setattr(sharding, "RANGE_BITS", 3)
+    got = sharding.shard_rows(rows, 2, rows_a_task=100)
+    assert groups[1] == ("shard", "range", "salt")
+    check(got.collect(), 2, 40)
+    ranges = {}
+    for r in got.collect():
+        ranges[r["h"] >> 61] = ranges.get(r["h"] >> 61, 0) + 1
+    assert len(ranges) == 8 and sum(-(-n // 100) for n in ranges.values()) < 100
+
+
 @pytest.mark.parametrize("n", [0, 1, 3])
 def test_few_rows(spark, n):
     got = sharding.histogram_shards(spark.createDataFrame([(k, "t") for k in range(n)], "doc_id long, text string"), 24).collect()
