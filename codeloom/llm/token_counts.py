@@ -12,6 +12,8 @@ from .tokenizers import PieceCounter, file_digest
 
 CACHE_SCHEMA = "digest binary, n_tokens long, tokenizer string"
 LIMIT = 4096
+#: Digests of misses that are broadcast at most (32 bytes each).
+BROADCAST_DIGESTS = 250_000
 
 
 def read_cache(spark: SparkSession, path: str, tokenizer: str) -> DataFrame:
@@ -45,15 +47,19 @@ def count_tokens(docs: DataFrame, model_path: str, cache_path: str, limit: int =
     A content's digest is the SHA-256 of its UTF-8 bytes, null as empty; nothing else is normalised, for any
     other change could change the count. The tokenizer's version is the digest of its model file. Digests that
     the cache at cache_path lacks are encoded once each and appended to it; then counts are joined to rows.
-    Copies cross the exchange at most once a task, so a content that fills a third of the table is no hot spot
+    A warm cache costs an exchange of digests, not of texts. Copies cross the exchange at most once a task, so a content that fills a third of the table is no hot spot
     there, and the last join is one that adaptive execution splits. Repeated rows stay repeated; an empty
     table gives an empty result.
     """
     spark, version = docs.sparkSession, file_digest(model_path)
     rows = texts(docs).withColumn("digest", F.unhex(F.sha2(F.col("text"), 256)))
     keys = cut(rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest"))
-    contents = rows.select("digest", "text").mapInArrow(_first_of_task, "digest binary, packed binary")
-    misses = contents.repartition("digest").join(read_cache(spark, cache_path, version).select("digest"), "digest", "left_anti")
+    absent = cut(keys.select("digest").distinct().join(read_cache(spark, cache_path, version).select("digest"), "digest", "left_anti"))
+    few = absent.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS
+    # digests alone are looked up; then only texts that lack a count move: where the misses are few, none but theirs
+    contents = rows.join(F.broadcast(absent), "digest", "left_semi") if few else rows
+    contents = contents.select("digest", "text").mapInArrow(_first_of_task, "digest binary, packed binary").repartition("digest")
+    misses = contents if few else contents.join(absent, "digest", "left_semi")
 
     def encode(batches):
         seen, counter, unpack = set(), PieceCounter(model_path), zstandard.ZstdDecompressor()
