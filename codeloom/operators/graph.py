@@ -158,8 +158,17 @@ def edge_between(edges: DataFrame, source: str, target: str, order: Column | Non
 
 
 def symbol_index(nodes: DataFrame) -> DataFrame:
-    """(label, ids, files, first_id): what each name is defined by."""
-    return nodes.groupBy("label").agg(F.array_sort(F.collect_set("id")).alias("ids"), F.array_sort(F.collect_set("source_file")).alias("files"), F.min("id").alias("first_id"))
+    """(label, id, source_file): what each name is defined by and where, a row for each, so a name that many share is no long list."""
+    return nodes.select("label", "id", "source_file").distinct()
+
+
+def edge_agreement(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """(n_expected, n_found, n_both, recall, precision) of the distinct (source, relation, target_id) of two edge sets; an empty side has 1."""
+    key = ["source", "relation", "target_id"]
+    a, b = expected.select(*key).distinct().withColumn("_a", F.lit(1)), found.select(*key).distinct().withColumn("_b", F.lit(1))
+    counted = a.join(b, key, "full").agg(F.count("_a").alias("n_expected"), F.count("_b").alias("n_found"), F.count(F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), 1)).alias("n_both"))
+    share = lambda whole: F.when(F.col(whole) == 0, 1.0).otherwise(F.round(F.col("n_both") / F.col(whole), 6))
+    return counted.select("*", share("n_expected").alias("recall"), share("n_found").alias("precision"))
 
 
 def latest(manifest: DataFrame) -> DataFrame:

@@ -268,13 +268,13 @@ def healed_refs(refs: DataFrame, prior_edges: DataFrame, prior_nodes: DataFrame,
     return ranked.select("source", "relation", "name", none.alias("type_hint"), none.alias("specifier"), none.alias("imported"), "recv_opaque", none.alias("recv_returns"), none.alias("recv_returns_owner"))
 
 
-def walk_exports(asked: DataFrame, exports: DataFrame, modules: DataFrame, defs: DataFrame, hops: int = 64) -> DataFrame:
+def walk_exports(asked: DataFrame, exports: DataFrame, modules: DataFrame, defs: DataFrame) -> DataFrame:
     """asked(ask, module, name) -> (ask, def_id): the definition that module exports by that name.
 
     exports(file, pos, kind, name, specifier, imported), modules(file, specifier, target) what specifiers resolve to,
     defs(file, name, def_id). A local export of a definition ends the walk; a re-export is followed and nothing else;
     otherwise star exports are searched in order. What a walk misses, the first module's own definition gives. Each
-    round follows every open path one step; a path never enters a (module, name) twice.
+    round follows every open path one step; a path never enters a (module, name) twice, so chains of any length end.
     """
     from .checkpoints import cut
 
@@ -291,9 +291,7 @@ def walk_exports(asked: DataFrame, exports: DataFrame, modules: DataFrame, defs:
     here = F.concat_ws("\u0001", "module", "name")
     open_paths = cut(asked.select("ask", "module", "name", F.array().cast("array<int>").alias("order"), F.array(here).alias("seen")))
     hits = None
-    for _ in range(hops):
-        if open_paths.isEmpty():
-            break
+    while not open_paths.isEmpty():
         at = open_paths.join(local, ["module", "name"], "left").join(followed, ["module", "name"], "left")
         found = at.where(F.col("def_id").isNotNull()).select("ask", "order", "def_id")
         hits = found if hits is None else hits.unionByName(found)

@@ -122,10 +122,9 @@ def ambiguous_labels(spark, sf):
     return graph.ambiguous_labels(G.nodes(spark, sf))
 
 
-@register("symbol_index", with_views("SELECT label, count(DISTINCT id) AS n_ids, count(DISTINCT source_file) AS n_files, min(id) AS first_id FROM g_nodes GROUP BY label", "g_nodes"))
+@register("symbol_index", with_views("SELECT DISTINCT label, id, source_file FROM g_nodes", "g_nodes"))
 def symbol_index(spark, sf):
-    counts = G.nodes(spark, sf).groupBy("label").agg(F.countDistinct("id").alias("n_ids"), F.countDistinct("source_file").alias("n_files"), F.min("id").alias("first_id"))
-    return counts
+    return graph.symbol_index(G.nodes(spark, sf))
 
 
 _GRAMS = "list_distinct(list_transform(range(1, greatest(len({x}) - 2, 1) + 1), lambda i: substring(lower({x}), i, 3)))"
