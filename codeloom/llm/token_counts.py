@@ -13,7 +13,7 @@ from .tokenizers import PieceCounter, file_digest
 CACHE_SCHEMA = "digest binary, n_tokens long, tokenizer string"
 LIMIT = 4096
 #: Digests of misses that are broadcast at most (32 bytes each).
-BROADCAST_DIGESTS = 250_000
+BROADCAST_DIGESTS = 30_000
 
 
 def read_cache(spark: SparkSession, path: str, tokenizer: str) -> DataFrame:

@@ -49,6 +49,14 @@ def test_counts_and_cache(spark, messy, rows, both):
     assert spark.read.parquet(path).count() == len({t or "" for _, t in rows}) + 1
 
 
+def test_many_misses_are_exchanged(spark, messy, rows, both, monkeypatch):
+    monkeypatch.setattr(token_counts, "BROADCAST_DIGESTS", 0)
+    path = fresh_path(spark, "cache")
+    got = sorted(((r["doc_id"], r["n_tokens"]) for r in token_counts.count_tokens(messy, PIECES, path).collect()), key=str)
+    assert got == sorted(((d, both[1].whole(t or "")) for d, t in rows), key=str)
+    assert spark.read.parquet(path).count() == len({t or "" for _, t in rows})
+
+
 def test_empty_counts(spark, nothing):
     assert token_counts.count_tokens(nothing, PIECES, fresh_path(spark, "cache")).collect() == []
 
