@@ -1,6 +1,8 @@
-"""Near-duplicate groups by the Jaccard similarity of word shingles: shared prefixes in one order of all shingles, exact check.
+"""Near-duplicate groups by the Jaccard similarity of word shingles: SimHash fingerprints by blocks, the rest by shared prefixes, exact check.
 
-Document ids may be long or binary.
+Fingerprints of a few differing bits meet by pigeonhole blocks. Similar texts may differ in more bits than blocks can
+join on: those meet by shared prefixes in one order of all shingles. Each pair is checked on its texts, so nothing depends
+on chance. Document ids may be long or binary.
 """
 
 from __future__ import annotations
@@ -14,10 +16,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import BROADCAST_KEYS, cut, id_type, texts
 from .components import connected_components
-from .simhash import _LOWER
+from .simhash import _LOWER, _distance, _masks, majority
 
 #: Words of a shingle, and the similarity from which two texts link.
 SIZE, SIMILARITY = 5, 0.8
+#: Differing bits up to which fingerprints meet by blocks. Pairs of more bits meet by prefixes.
+DISTANCE = 6
+#: Unlike texts that agree on a choice of blocks, about, at most; with more texts more blocks must agree.
+CHANCE = 256
 #: Common shingles that two texts of that many must have in their prefixes; a prefix is that much longer.
 SHARED = 8
 #: Distinct texts, about, whose shingles tell which are common, and most shingles so listed. They only order: no result depends on them.
@@ -60,11 +66,11 @@ def _common(rows: DataFrame, size: int) -> np.ndarray:
 
 
 def _prints(rows: DataFrame, size: int, similarity: float) -> DataFrame:
-    """rows(doc_id, text) -> (doc_id, content, n, rare, prefix), a row for every row.
+    """rows(doc_id, text) -> (doc_id, content, n, rare, fp, prefix), a row for every row.
 
-    content is the hash of the words, n the number of distinct shingles. prefix is the first of them, rare ones first, of
+    content is the hash of the words, n the number of distinct shingles, fp their SimHash fingerprint. prefix is the first of them, rare ones first, of
     which there are rare: texts that share at least similarity * n of theirs have their first SHARED common shingles in
-    both prefixes. A content's prefix is given once a task, else null.
+    both prefixes. A content's fp and prefix are given once a task, else null.
     """
     late = _common(rows, size)
     by_hash = np.argsort(late)
@@ -74,7 +80,7 @@ def _prints(rows: DataFrame, size: int, similarity: float) -> DataFrame:
     def run(batches):
         seen = set()
         for batch in batches:
-            contents, sizes, rares, prefixes = [], [], [], []
+            contents, sizes, rares, prints, prefixes = [], [], [], [], []
             for t in batch.column("text"):
                 text = t.as_py()
                 found = _hashes(text, size)
@@ -85,12 +91,13 @@ def _prints(rows: DataFrame, size: int, similarity: float) -> DataFrame:
                 contents.append(content - (1 << 64) if content >> 63 else content)
                 sizes.append(len(found))
                 rares.append(len(found) - int(common.sum()))
+                prints.append(None if content in seen else majority(found.view("<u8")))
                 prefixes.append(None if content in seen else order[: len(found) - math.ceil(similarity * len(found) - 1e-9) + SHARED])
                 seen.add(content)
-            columns = [batch.column("doc_id"), pa.array(contents, pa.int64()), pa.array(sizes, pa.int32()), pa.array(rares, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "content", "n", "rare", "prefix"])
+            columns = [batch.column("doc_id"), pa.array(contents, pa.int64()), pa.array(sizes, pa.int32()), pa.array(rares, pa.int32()), pa.array(prints, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "content", "n", "rare", "fp", "prefix"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, content long, n int, rare int, prefix array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, content long, n int, rare int, fp long, prefix array<long>")
 
 
 def _alike_sizes(na: Column, pa_: Column, nb: Column, pb: Column, similarity: float) -> Column:
@@ -123,6 +130,38 @@ def _stars(buckets: DataFrame, small: int, similarity: float) -> DataFrame:
     return met.select(F.col("first.content").alias("a"), F.col("content").alias("b")).distinct()
 
 
+def _blocks(n: int, distance: int) -> int:
+    """Blocks of a fingerprint: so many that on those that must agree few of n unlike texts do."""
+    agreeing = 2
+    while n > CHANCE << 64 * agreeing // (distance + agreeing):
+        agreeing += 1
+    return distance + agreeing
+
+
+def _near(contents: DataFrame, labels: DataFrame, distance: int, blocks: int) -> DataFrame:
+    """contents(content, fp) -> (a, b): all pairs a < b of texts not linked yet whose fingerprints differ in at most distance bits.
+
+    They agree on blocks - distance blocks and meet in the bucket of that choice, as in _between: a bucket of one group
+    gives none.
+    """
+    named = contents.join(labels.withColumnRenamed("node", "content"), "content", "left").select("content", "fp", F.coalesce("root", "content").alias("group"))
+    choices = F.array(*(F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(_masks(blocks, distance))))
+    keys = named.select(F.explode(choices).alias("key"), "content", "fp", "group").repartition("key")
+    whole = Window.partitionBy("key")
+    mixed = keys.select("*", F.min("group").over(whole).alias("main"), F.max("group").over(whole).alias("last")).where("main < last")
+    left = mixed.where("group <> main").select("key", F.col("content").alias("x"), F.col("fp").alias("fx"), F.col("group").alias("gx"))
+    right = mixed.select("key", F.col("content").alias("y"), F.col("fp").alias("fy"), F.col("group").alias("gy"), "main")
+    met = left.join(right, "key").where((F.col("gx") != F.col("gy")) & ((F.col("gy") == F.col("main")) | (F.col("x") < F.col("y"))))
+    met = met.where(_distance(F.col("fx"), F.col("fy")) <= distance)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _far(pairs: DataFrame, contents: DataFrame, distance: int) -> DataFrame:
+    """The pairs(a, b) whose fingerprints differ in more than distance bits; _near has the others."""
+    a, b = (contents.select(F.col("content").alias(n), F.col("fp").alias(f"f{n}")) for n in ("a", "b"))
+    return pairs.join(a, "a").join(b, "b").where(_distance(F.col("fa"), F.col("fb")) > distance).select("a", "b")
+
+
 def _between(buckets: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
     """(a, b): pairs a < b of texts not linked yet that may reach the similarity: their prefixes share enough shingles.
 
@@ -162,14 +201,19 @@ def _verified(candidates: DataFrame, rows: DataFrame, prints: DataFrame, size: i
     return cut(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
 
-def links(rows: DataFrame, prints: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, small: int = SMALL) -> DataFrame:
+def links(rows: DataFrame, prints: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, small: int = SMALL, distance: int = DISTANCE) -> DataFrame:
     """(a, b): pairs of contents whose shingle sets reach the similarity, enough that each group of linked ones is connected.
 
-    First crowded buckets link to their first text; then only pairs between different groups are looked at, all of them.
+    First crowded buckets link to their first text; then only pairs between different groups are looked at, all of them:
+    those within distance bits by their fingerprints' blocks, the others by their prefixes.
     """
+    contents = cut(prints.where(F.col("prefix").isNotNull() & (F.col("n") > 0)).select("content", "fp").distinct())
     buckets = _buckets(prints)
     stars = _verified(_stars(buckets, small, similarity), rows, prints, size, similarity)
-    return stars.unionByName(_verified(_between(buckets, connected_components(stars), similarity), rows, prints, size, similarity))
+    labels = connected_components(stars)
+    near = _near(contents, labels, distance, _blocks(contents.count(), distance))
+    far = _far(_between(buckets, labels, similarity), contents, distance)
+    return stars.unionByName(_verified(near.unionByName(far), rows, prints, size, similarity))
 
 
 def near_duplicates(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:

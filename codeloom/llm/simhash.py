@@ -37,6 +37,11 @@ def fingerprint(text: bytes, size: int = 3, seed: int = SEED) -> int:
     else:
         shingles = map(b" ".join, zip(*(words[k:] for k in range(size))))
         hashes = np.array([digest(s, seed) for s in shingles], "<u8")
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the unsigned hashes, as a signed long; of no hashes zero."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65536):
         part = hashes[at : at + 65536]

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 import corpus_pipeline
 from codeloom.llm import jaccard
 
@@ -81,3 +83,37 @@ def test_stage_drops_near_copies(spark):
     want = {d for d, c in grouped(rows) if d == c}
     docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == want
+
+
+@pytest.mark.parametrize("agreeing", [2, 3])
+def test_near_fingerprints_meet_by_blocks(spark, agreeing):
+    rng = random.Random(agreeing)
+    base = [rng.getrandbits(64) for _ in range(8)]
+    prints = [base[k % 8] ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 6))) for k in range(160)]
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    group = [k % 8 if k % 3 == 0 else k for k in range(160)]  # some are linked already, within a base
+    contents = spark.createDataFrame(list(enumerate(signed)), "content long, fp long").repartition(3)
+    labels = spark.createDataFrame([(k, g) for k, g in enumerate(group) if g != k], "node long, root long")
+    got = [(r["a"], r["b"]) for r in jaccard._near(contents, labels, jaccard.DISTANCE, jaccard.DISTANCE + agreeing).collect()]
+    want = {(a, b) for b in range(160) for a in range(b) if group[a] != group[b] and (prints[a] ^ prints[b]).bit_count() <= jaccard.DISTANCE}
+    assert set(got) == want and len(got) == len(want) > 300
+
+
+def test_more_texts_need_more_blocks():
+    assert [jaccard._blocks(n, 6) for n in (0, 1 << 24, (1 << 24) + 1, 1 << 34)] == [8, 8, 9, 11]
+
+
+def test_links_come_by_fingerprints_and_by_prefixes(spark, monkeypatch):
+    """Pairs of few differing bits come by blocks alone, others by prefixes alone: each way links texts that the other doesn't."""
+    rows = near_copies()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    whole, none = grouped(rows), lambda pairs, *_: spark.createDataFrame([], "a long, b long")
+
+    def groups():
+        return sorted((r["doc_id"], r["component_id"]) for r in jaccard.near_duplicates(docs).collect())
+
+    assert groups() == whole
+    for way in ("_near", "_far"):
+        with monkeypatch.context() as m:
+            m.setattr(jaccard, way, none)
+            assert sum(d != c for d, c in groups()) < sum(d != c for d, c in whole)
