@@ -8,6 +8,8 @@ joined by equality. A name that very many nodes share is one row for each key, n
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.relations import AMBIGUOUS, CONTAINS, DEPENDS_ON, EXTRACTED, INFERRED, LINKABLE, ancestors, norm_type
@@ -268,16 +270,47 @@ def healed_refs(refs: DataFrame, prior_edges: DataFrame, prior_nodes: DataFrame,
     return ranked.select("source", "relation", "name", none.alias("type_hint"), none.alias("specifier"), none.alias("imported"), "recv_opaque", none.alias("recv_returns"), none.alias("recv_returns_owner"))
 
 
+def _walk_cycles(asked: DataFrame, local: DataFrame, followed: DataFrame, stars: DataFrame) -> DataFrame:
+    """asked(module, name) -> (module, name, def_id), every star export followed by (order, path) until none is open.
+
+    A path never enters a (module, name) twice. Of paths that meet in one round the first in order goes on, and none that
+    comes after its ask's best hit: the first path to a definition is first to each place on it too.
+    """
+    from .checkpoints import cut
+
+    here = F.concat_ws("\u0001", "module", "name")
+    ask = ["ask_module", "ask_name"]
+    open_paths = cut(asked.select(F.col("module").alias("ask_module"), F.col("name").alias("ask_name"), "module", "name", F.array().cast("array<int>").alias("order"), F.array(here).alias("seen")))
+    best = None
+    while not open_paths.isEmpty():
+        at = open_paths.join(local, ["module", "name"], "left").join(followed, ["module", "name"], "left")
+        found = at.where(F.col("def_id").isNotNull()).select(*ask, F.struct("order", "def_id").alias("hit"))
+        best = cut((found if best is None else best.unionByName(found)).groupBy(*ask).agg(F.min("hit").alias("hit")))
+        rest = at.where(F.col("def_id").isNull())
+        through = rest.where(F.col("follows") & F.col("to_module").isNotNull()).select(*ask, F.col("to_module").alias("module"), F.col("to_name").alias("name"), "order", "seen")
+        spread = rest.where(F.col("follows").isNull()).join(stars, ["module", "name"]).select(*ask, F.col("star_module").alias("module"), "name", F.concat("order", F.array(F.col("star_pos").cast("int"))).alias("order"), "seen")
+        step = through.unionByName(spread).where(~F.array_contains("seen", here)).groupBy(*ask, "module", "name").agg(F.min(F.struct("order", "seen")).alias("p"))
+        step = step.select(*ask, "module", "name", F.col("p.order").alias("order"), F.concat("p.seen", F.array(here)).alias("seen"))
+        open_paths = cut(step.join(best, ask, "left").where(F.col("hit").isNull() | (F.col("order") < F.col("hit.order"))).drop("hit"))
+    if best is None:
+        return asked.select("module", "name", F.lit(None).cast("string").alias("def_id")).limit(0)
+    return best.select(F.col("ask_module").alias("module"), F.col("ask_name").alias("name"), F.col("hit.def_id").alias("def_id"))
+
+
 def walk_exports(asked: DataFrame, exports: DataFrame, modules: DataFrame, defs: DataFrame) -> DataFrame:
     """asked(ask, module, name) -> (ask, def_id): the definition that module exports by that name.
 
     exports(file, pos, kind, name, specifier, imported), modules(file, specifier, target) what specifiers resolve to,
     defs(file, name, def_id). A local export of a definition ends the walk; a re-export is followed and nothing else;
-    otherwise star exports are searched in order. What a walk misses, the first module's own definition gives. Each
-    round follows every open path one step; a path never enters a (module, name) twice, so chains of any length end.
+    otherwise star exports are searched in order. What a walk misses, the first module's own definition gives.
+
+    First the (module, name) that reach a definition are found, backwards from definitions, a round for each step. Then
+    each asked (module, name), once, follows its first star export that does, so a barrel of very many modules is one row
+    a name and no asked name is spread over them. Only where that runs into a cycle are all star exports walked.
     """
     from .checkpoints import cut
 
+    pair = ["module", "name"]
     local = exports.where(F.col("kind") == "local").select("file", "name").distinct().join(defs, ["file", "name"])
     local = local.select(F.col("file").alias("module"), "name", "def_id")
     again = exports.where(F.col("kind") == "reexport").groupBy("file", "name").agg(F.max_by(F.struct("specifier", "imported"), "pos").alias("e"), F.max("pos").alias("e_pos"))
@@ -285,24 +318,40 @@ def walk_exports(asked: DataFrame, exports: DataFrame, modules: DataFrame, defs:
     again = again.join(last_local, ["file", "name"], "left")
     wins = again.where(F.col("l_pos").isNull() | (F.col("e_pos") > F.col("l_pos")))
     resolved = modules.select("file", "specifier", "target")
-    followed = wins.select("file", "name", "e.specifier", "e.imported").join(resolved, ["file", "specifier"], "left").select(F.col("file").alias("module"), "name", F.lit(True).alias("follows"), F.col("target").alias("to_module"), F.col("imported").alias("to_name"))
-    local = local.join(followed.select("module", "name"), ["module", "name"], "left_anti")
+    followed = cut(wins.select("file", "name", "e.specifier", "e.imported").join(resolved, ["file", "specifier"], "left").select(F.col("file").alias("module"), "name", F.lit(True).alias("follows"), F.col("target").alias("to_module"), F.col("imported").alias("to_name")))
+    states = asked.select(*pair).distinct()
+    names = states.select("name").unionByName(followed.select(F.col("to_name").alias("name"))).distinct()
+    local = cut(local.join(followed.select(*pair), pair, "left_anti").join(names, "name", "left_semi").select(*pair, "def_id"))
     stars = exports.where(F.col("kind") == "star").select("file", "pos", "specifier").join(resolved, ["file", "specifier"]).where(F.col("target").isNotNull()).select(F.col("file").alias("module"), F.col("pos").alias("star_pos"), F.col("target").alias("star_module"))
-    here = F.concat_ws("\u0001", "module", "name")
-    open_paths = cut(asked.select("ask", "module", "name", F.array().cast("array<int>").alias("order"), F.array(here).alias("seen")))
-    hits = None
-    while not open_paths.isEmpty():
-        at = open_paths.join(local, ["module", "name"], "left").join(followed, ["module", "name"], "left")
-        found = at.where(F.col("def_id").isNotNull()).select("ask", "order", "def_id")
-        hits = found if hits is None else hits.unionByName(found)
-        rest = at.where(F.col("def_id").isNull())
-        through = rest.where(F.col("follows") & F.col("to_module").isNotNull()).select("ask", F.col("to_module").alias("module"), F.col("to_name").alias("name"), "order", "seen")
-        spread = rest.where(F.col("follows").isNull()).join(stars, "module").select("ask", F.col("star_module").alias("module"), "name", F.concat("order", F.array(F.col("star_pos").cast("int"))).alias("order"), "seen")
-        step = through.unionByName(spread).where(~F.array_contains("seen", here)).withColumn("seen", F.concat("seen", F.array(here)))
-        open_paths = cut(step)
-    best = hits.groupBy("ask").agg(F.min_by("def_id", "order").alias("def_id")) if hits is not None else asked.select("ask", F.lit(None).cast("string").alias("def_id")).limit(0)
-    own = asked.join(defs.select(F.col("file").alias("module"), "name", F.col("def_id").alias("own")), ["module", "name"], "left").select("ask", "own")
-    return own.join(best, "ask", "left").select("ask", F.coalesce("def_id", "own").alias("def_id")).where(F.col("def_id").isNotNull())
+    through = followed.where(F.col("to_module").isNotNull()).select(*pair, "to_module", "to_name")
+    to = lambda df: df.select(F.col("module").alias("to_module"), F.col("name").alias("to_name"))
+    starred = lambda df: stars.join(df.select(F.col("module").alias("star_module"), "name"), "star_module").join(followed.select(*pair), pair, "left_anti")
+    fruitful = fresh = local.select(*pair).distinct()
+    while not fresh.isEmpty():
+        step = through.join(to(fresh), ["to_module", "to_name"], "left_semi").select(*pair).unionByName(starred(fresh).select(*pair))
+        fresh = cut(step.distinct().join(fruitful, pair, "left_anti"))
+        fruitful = fruitful.unionByName(fresh)
+    spread = starred(fruitful).join(local.select(*pair), pair, "left_anti")
+    first = spread.groupBy(*pair).agg(F.min_by("star_module", "star_pos").alias("to_module")).select(*pair, "to_module", F.col("name").alias("to_name"))
+    leads = cut(through.join(to(fruitful), ["to_module", "to_name"], "left_semi").select(*pair, "to_module", "to_name").unionByName(first))
+    begin = [F.col("module").alias("ask_module"), F.col("name").alias("ask_name")]
+    here = F.concat_ws("\u0001", *pair)
+    walking = cut(states.join(fruitful, pair, "left_semi").select(*begin, *pair, F.array(here).alias("seen")))
+    ends, cycles = [], []
+    while not walking.isEmpty():
+        at = walking.join(local, pair, "left")
+        ends.append(at.where(F.col("def_id").isNotNull()).select(F.col("ask_module").alias("module"), F.col("ask_name").alias("name"), "def_id"))
+        moved = at.where(F.col("def_id").isNull()).drop("def_id").join(leads, pair).select("ask_module", "ask_name", F.col("to_module").alias("module"), F.col("to_name").alias("name"), "seen")
+        moved = cut(moved.withColumn("_back", F.array_contains("seen", here)).withColumn("seen", F.concat("seen", F.array(here))))
+        cycles.append(moved.where("_back").select(F.col("ask_module").alias("module"), F.col("ask_name").alias("name")))
+        walking = moved.where("NOT _back").drop("_back")
+    if cycles:
+        round_ = reduce(DataFrame.unionByName, cycles)
+        if not round_.isEmpty():
+            ends.append(_walk_cycles(round_, local, followed, spread))
+    found = reduce(DataFrame.unionByName, ends) if ends else states.select(*pair, F.lit(None).cast("string").alias("def_id")).limit(0)
+    own = asked.join(defs.select(F.col("file").alias("module"), "name", F.col("def_id").alias("own")), pair, "left").join(found, pair, "left")
+    return own.select("ask", F.coalesce("def_id", "own").alias("def_id")).where(F.col("def_id").isNotNull())
 
 
 def import_scope(refs: DataFrame, nodes: DataFrame, exports: DataFrame, modules: DataFrame) -> DataFrame:

@@ -156,6 +156,23 @@ def test_export_walk(spark, seed):
     assert {r["ask"]: r["def_id"] for r in got.collect()} == want
 
 
+def test_export_walk_keeps_wide_barrels_small(spark, monkeypatch):
+    """A barrel of many modules, asked for each of their names: no step holds more rows than the tables do, beside cycles of barrels."""
+    from codeloom.operators import checkpoints
+
+    n, sizes, cut = 300, [], checkpoints.cut
+    monkeypatch.setattr(checkpoints, "cut", lambda df: (done := cut(df), sizes.append(done.count()))[0])
+    exports = [(f"m{k}", 0, "local", f"s{k}", None, None) for k in range(n)] + [("b", k, "star", None, f"./m{k}", None) for k in range(n)] + [("top", 0, "star", None, "./ring", None), ("top", 1, "star", None, "./b", None), ("ring", 0, "star", None, "./top", None)]
+    target = {(f, spec): spec[2:] for f, _, _, _, spec, _ in exports if spec}
+    asked = [(k, "top" if k == 7 else "b", f"s{k}") for k in range(n)] + [(n, "ring", "s8")]
+    got = link.walk_exports(
+        spark.createDataFrame(asked, "ask long, module string, name string"), spark.createDataFrame(exports, "file string, pos int, kind string, name string, specifier string, imported string"),
+        spark.createDataFrame([(f, s, t) for (f, s), t in target.items()], "file string, specifier string, target string"), spark.createDataFrame([(f"m{k}", f"s{k}", f"d{k}") for k in range(n)], "file string, name string, def_id string"),
+    )
+    assert {r["ask"]: r["def_id"] for r in got.collect()} == {**{k: f"d{k}" for k in range(n)}, n: "d8"}
+    assert max(sizes) <= len(exports) + 3 * n
+
+
 def test_module_resolution(spark):
     files = [(p,) for p in ("a/src/lib.rs", "a/src/x.rs", "a/src/d/mod.rs", "a/src/d/e.rs", "b/src/main.rs", "b/src/u.rs", "w/index.ts", "w/lib/k.tsx", "w/lib/dir/index.js", "w/own.js", "c/lib.rs", "c/q.rs")]
     projects = [("a", "Cargo.toml", "aa", None, []), ("b", "Cargo.toml", "bb", None, []), ("c", "Cargo.toml", "cc", None, []), ("w", "package.json", "@acme/ui", "own", []), ("v", "package.json", "@acme", None, []), ("", "go.mod", None, None, [])]
