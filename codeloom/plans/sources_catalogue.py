@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators import graph
 from ..sources import changes, manifests
-from ..sources.extract import extract, split
+from ..sources.extract import extract, split, spread
 from .catalogue import register, table
 
 #: language: (path, content), both with {k} for the part's key and {n} for the next one's.
@@ -32,7 +32,7 @@ def _filled(pattern: str) -> Column:
 
 def files(spark, sf: str, *languages: str) -> DataFrame:
     """(path, language, content binary): a file of each language for each part."""
-    keys = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), (F.col("p_partkey") + 1).alias("n"))
+    keys = spread(table(spark, sf, "part").select(F.col("p_partkey").alias("k")), "k").select("k", (F.col("k") + 1).alias("n"))
     out = None
     for name in languages:
         path, content = FILES[name]
@@ -73,11 +73,11 @@ _EDGES = {
 
 
 def _register_language(name: str) -> None:
-    register(f"extract_{name}_nodes", _sql(_NODES[name], ["id", "label", "kind"]))(lambda spark, sf: split(extract(files(spark, sf, name)))["nodes"].select("id", "label", "kind"))
+    register(f"extract_{name}_nodes", _sql(_NODES[name], ["id", "label", "kind"]))(lambda spark, sf: split(extract(files(spark, sf, name), "node"))["nodes"].select("id", "label", "kind"))
     if name in _REFS:
-        register(f"extract_{name}_refs", _sql(_REFS[name], ["source", "relation", "name", "specifier"]))(lambda spark, sf: split(extract(files(spark, sf, name)))["refs"].select("source", "relation", "name", "specifier"))
+        register(f"extract_{name}_refs", _sql(_REFS[name], ["source", "relation", "name", "specifier"]))(lambda spark, sf: split(extract(files(spark, sf, name), "ref"))["refs"].select("source", "relation", "name", "specifier"))
     if name in _EDGES:
-        register(f"extract_{name}_contains", _sql(_EDGES[name], ["source", "target_id"]))(lambda spark, sf: split(extract(files(spark, sf, name)))["edges"].where("relation = 'contains'").select("source", "target_id"))
+        register(f"extract_{name}_contains", _sql(_EDGES[name], ["source", "target_id"]))(lambda spark, sf: split(extract(files(spark, sf, name), "edge"))["edges"].where("relation = 'contains'").select("source", "target_id"))
 
 
 for _language in FILES:
@@ -86,7 +86,7 @@ for _language in FILES:
 
 @register("extract_python_refs", _sql(_PYTHON_REFS, ["source", "relation", "name"]))
 def extract_python_refs(spark, sf):
-    return split(extract(files(spark, sf, "python")))["refs"].where("relation <> 'imports'").select("source", "relation", "name")
+    return split(extract(files(spark, sf, "python"), "ref"))["refs"].where("relation <> 'imports'").select("source", "relation", "name")
 
 
 @register(
@@ -96,7 +96,7 @@ UNION ALL SELECT 'type:lib/m' || k || '.py:C' || k, 2, 4 FROM p UNION ALL SELECT
 )
 def extract_spans(spark, sf):
     """Where the parsers say that definitions of several kinds begin and end."""
-    found = split(extract(files(spark, sf, "rust", "python", "typescript")))["nodes"]
+    found = split(extract(files(spark, sf, "rust", "python", "typescript"), "node"))["nodes"]
     wanted = found.where((F.col("kind").isin("trait", "class")) | (F.col("id").startswith("fn:src/") & F.col("id").endswith("::run")))
     return wanted.select("id", F.col("span_start").alias("first"), F.col("span_end").alias("last"))
 
@@ -109,7 +109,7 @@ def extract_spans(spark, sf):
     ),
 )
 def extract_exports(spark, sf):
-    return split(extract(files(spark, sf, "typescript")))["exports"].select("file", "kind", "name", "specifier", "imported")
+    return split(extract(files(spark, sf, "typescript"), "export"))["exports"].select("file", "kind", "name", "specifier", "imported")
 
 
 @register(
@@ -119,7 +119,7 @@ UNION ALL SELECT 'type:web/f' || k || '.ts:I' || k, NULL, 'true' FROM p UNION AL
 )
 def extract_attributes(spark, sf):
     """The owner of each method and what is abstract."""
-    found = split(extract(files(spark, sf, "rust", "typescript")))["nodes"].select("id", F.col("attrs")["impl"].alias("impl"), F.col("attrs")["abstract"].alias("abstract"))
+    found = split(extract(files(spark, sf, "rust", "typescript"), "node"))["nodes"].select("id", F.col("attrs")["impl"].alias("impl"), F.col("attrs")["abstract"].alias("abstract"))
     return found.where("impl IS NOT NULL OR abstract IS NOT NULL")
 
 
@@ -138,7 +138,7 @@ UNION ALL SELECT 'js' || k, 'package.json', 'pkg' || k, 'index' || k || '.js', '
 UNION ALL SELECT 'go' || k, 'go.mod', 'example.org/m' || k, NULL, 'example.org/m' || n FROM p UNION ALL SELECT 'py' || k, 'pyproject.toml', 'dist' || k, NULL, '' FROM p""",
 )
 def project_manifests(spark, sf):
-    keys = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), (F.col("p_partkey") + 1).alias("n"))
+    keys = spread(table(spark, sf, "part").select(F.col("p_partkey").alias("k")), "k").select("k", (F.col("k") + 1).alias("n"))
     parts = [keys.select(_filled(path).alias("path"), _filled(text.replace("\1", "{{").replace("\2", "}}")).cast("binary").alias("content")) for path, text in _MANIFESTS.items()]
     made = parts[0]
     for part in parts[1:]:

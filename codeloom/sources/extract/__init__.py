@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,6 +13,8 @@ from .base import Builder
 
 Extractor = Callable[[str, str | None, str], Builder]
 EXTRACTORS: dict[str, Extractor] = {"rust": rust.extract, "python": python.extract, "typescript": typescript.extract, "javascript": typescript.extract}
+#: Files that one task parses, a second or so.
+FILES_A_TASK = 2_000
 ROW_SCHEMA = "path string, tag string, pos long, body string"
 NODE_SCHEMA = "id string, label string, kind string, source_file string, span_start int, span_end int, attrs map<string,string>"
 EDGE_SCHEMA = "source string, relation string, target_id string"
@@ -25,15 +28,22 @@ def extract_file(path: str, language: str | None, content: bytes | str) -> Build
     return EXTRACTORS.get(language or "", lines.extract)(path, language, text)
 
 
-def extract(files: DataFrame) -> DataFrame:
-    """files(path, language, content binary) -> tagged rows; a null language or content gives none. No exchange."""
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows over as many tasks as their number asks for: a table of keys is a few MB, which Spark reads in a task or two,
+    however long the parsing of what is made of them takes."""
+    return rows.repartition(max(1, math.ceil(rows.count() / FILES_A_TASK)), key)
+
+
+def extract(files: DataFrame, *tags: str) -> DataFrame:
+    """files(path, language, content binary) -> tagged rows, or only those of some tags (node, edge, ref, export); a null
+    language or content gives none. No exchange: callers spread the files."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows: list[dict] = []
             for path, language, content in zip(batch.path, batch.language, batch.content):
                 if language is not None and content is not None:
-                    rows += extract_file(path, language, bytes(content)).rows()
+                    rows += extract_file(path, language, bytes(content)).rows(tags or None)
             yield pd.DataFrame(rows, columns=["path", "tag", "pos", "body"])
 
     return files.where("language IS NOT NULL").select("path", "language", "content").mapInPandas(run, ROW_SCHEMA)

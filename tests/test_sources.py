@@ -210,3 +210,15 @@ def test_any_text_is_survived():
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 60)))
         for language in ("rust", "typescript", "python", "go"):
             extract_file("x", language, text)
+
+
+def test_files_made_of_keys_are_parsed_by_many_tasks(spark, monkeypatch):
+    """A table of keys is a few MB and so one task's; parsing what is made of them is spread by the number of files."""
+    from codeloom.plans import sources_catalogue
+    from codeloom.sources import extract
+
+    monkeypatch.setattr(extract, "FILES_A_TASK", 40, raising=False)
+    for name in ("rust", "typescript"):
+        made = sources_catalogue.files(spark, "/root/testdata/sf0.001", name)
+        assert made.rdd.getNumPartitions() >= made.count() / 40 > 1
+        assert {r["tag"] for r in extract.extract(made, "ref").select("tag").distinct().collect()} == {"ref"}
