@@ -97,6 +97,42 @@ def test_clustering(spark):
     assert fine.select("community_id").distinct().count() > 2
 
 
+def plain_synchronous(ids, pairs, odd, rounds=12):
+    near, label = {i: {} for i in ids}, {i: i for i in ids}
+    for a, b, w in pairs:
+        near[a][b] = near[b][a] = w
+    degree, total = {i: sum(near[i].values()) for i in ids}, sum(w for *_, w in pairs)
+    still = 0
+    for r in range(rounds):
+        tot, new = {}, dict(label)
+        for i in ids:
+            tot[label[i]] = tot.get(label[i], 0.0) + degree[i]
+        for i in (i for i in ids if odd[i] == r % 2 and near[i]):
+            k = {}
+            for j, w in near[i].items():
+                k[label[j]] = k.get(label[j], 0.0) + w
+            new[i] = max((k[c] - (tot[c] - (degree[i] if c == label[i] else 0.0)) * degree[i] / (2 * total), c == label[i], c) for c in k)[2]
+        still, label = (still + 1 if new == label else 0), new
+        if still == 2:
+            break
+    return label
+
+
+def test_synchronous_rounds_leave_out_leaves(spark, monkeypatch):
+    """The same moves as in plain Python, and after two rounds no step holds the leaves of a node one by one."""
+    rng = random.Random(5)
+    links = {tuple(sorted(rng.sample([f"h{k}" for k in range(9)], 2))) for _ in range(16)} | {(f"h{rng.randint(0, 8)}", f"leaf{k}") for k in range(400)} | {("q1", "q2")}
+    pairs = [(a, b, rng.choice([1.0, 0.5])) for a, b in sorted(links)]
+    ids = sorted({i for link in links for i in link} | {"lone"})
+    nodes = spark.createDataFrame([(i,) for i in ids], "id string")
+    odd = {r["id"]: r["o"] for r in nodes.select("id", F.pmod(F.xxhash64("id"), F.lit(2)).alias("o")).collect()}
+    sizes, cut = [], cluster.cut
+    monkeypatch.setattr(cluster, "cut", lambda df: (done := cut(df), sizes.append(done.count()))[0])
+    got = cluster._synchronous(nodes, spark.createDataFrame(pairs, "u string, v string, w double"), ClusterConfig())
+    assert {r["node_id"]: r["group"] for r in got.collect()} == plain_synchronous(ids, pairs, odd)
+    assert len(sizes) > 8 and max(sizes[-3:]) < 60
+
+
 def test_claims():
     assert cluster.claims([(0, 5, 2), (1, 5, 3), (0, 2, 2)], [0, 1, 2], [5, 2]) == {1: 5, 0: 2, 2: 0}
 
