@@ -133,6 +133,33 @@ def test_synchronous_rounds_leave_out_leaves(spark, monkeypatch):
     assert len(sizes) > 8 and max(sizes[-3:]) < 60
 
 
+@pytest.mark.parametrize("most, filtered", [(200_000, 10_000_000), (2, 10_000_000), (20, 10_000_000), (2, 0)])
+def test_edges_with_absent_ends_are_told_apart_where_they_are(spark, monkeypatch, most, filtered):
+    """By the absent ids, by a filter of them, or by joins: the same edges; only the last way moves edges."""
+    from codeloom.operators import delta, filters
+
+    rng = random.Random(8)
+    monkeypatch.setattr(filters, "MOST_BROADCAST", most)
+    monkeypatch.setattr(filters, "MOST_FILTERED", filtered)
+    monkeypatch.setattr(filters, "_BITS_A_KEY", 6 if most == 20 else 24)  # some existing ids are hit as well
+    ids = [f"n{k}" for k in range(0, 60, 2)]
+    rows = [(f"n{rng.randint(0, 59)}" if rng.random() < 0.97 else None, "calls", "EXTRACTED", None if rng.random() < 0.2 else f"n{rng.randint(0, 59)}", "x") for _ in range(600)]
+    edges, nodes = spark.createDataFrame(rows, "source string, relation string, confidence string, target_id string, target_name string"), spark.createDataFrame([(i,) for i in ids], "id string")
+    want = [r for r in rows if r[0] in ids and (r[3] is None or r[3] in ids)]
+    same = lambda got, rows: sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, rows))
+    found = graph.prune_dangling(edges, nodes)
+    assert same(found, want) and same(graph.resolved(edges, nodes), [r for r in want if r[3]])
+    if filtered:
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    gone = rows[:50] + [("a", "calls", "EXTRACTED", "b", None)]
+    left = list(rows)
+    for r in gone:
+        if r in left:
+            left.remove(r)
+    assert same(delta.subtract(edges, spark.createDataFrame(gone, edges.schema)), left)
+
+
 def test_claims():
     assert cluster.claims([(0, 5, 2), (1, 5, 3), (0, 2, 2)], [0, 1, 2], [5, 2]) == {1: 5, 0: 2, 2: 0}
 
