@@ -160,6 +160,17 @@ def test_edges_with_absent_ends_are_told_apart_where_they_are(spark, monkeypatch
     assert same(delta.subtract(edges, spark.createDataFrame(gone, edges.schema)), left)
 
 
+def test_god_nodes_count_without_moving_edges(spark):
+    """Edges are joined with nodes only where an end is absent, and then don't count."""
+    rows = [("a", "calls", "b"), ("a", "calls", "b"), ("b", "calls", "c"), ("c", "contains", "a")]
+    nodes, edges = small(spark, rows)
+    found = graph.god_nodes(edges, nodes, 2)
+    assert [(r["id"], r["degree"]) for r in found.collect()] == [("b", 3), ("a", 2)]
+    assert "LeftSemi" not in found._jdf.queryExecution().optimizedPlan().toString()
+    _, more = small(spark, [*rows, *[("c", "calls", "gone")] * 5, ("gone", "calls", "a")])
+    assert [(r["id"], r["degree"]) for r in graph.god_nodes(more, nodes, 3).collect()] == [("b", 3), ("a", 2), ("c", 1)]
+
+
 def test_claims():
     assert cluster.claims([(0, 5, 2), (1, 5, 3), (0, 2, 2)], [0, 1, 2], [5, 2]) == {1: 5, 0: 2, 2: 0}
 
