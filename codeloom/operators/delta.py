@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from . import filters
+
 EDGE_COLUMNS = ["source", "relation", "confidence", "target_id", "target_name"]
 
 
@@ -14,8 +16,15 @@ def edge_diff(prior: DataFrame, emitted: DataFrame, columns: list[str] = EDGE_CO
 
 
 def subtract(edges: DataFrame, removed: DataFrame, columns: list[str] = EDGE_COLUMNS) -> DataFrame:
-    """edges less one copy for each row of removed."""
-    return edges.select(*columns).exceptAll(removed.select(*columns))
+    """edges less one copy for each row of removed. Edges that no filter of removed hits stay as they are, and where they are."""
+    edges, removed = edges.select(*columns), removed.select(*columns)
+    n = removed.count()
+    if n == 0:
+        return edges
+    if n > filters.MOST_FILTERED:
+        return edges.exceptAll(removed)
+    maybe = edges.crossJoin(F.broadcast(filters.made(removed, n))).withColumn("_hit", filters.hit(n, *map(F.col, columns)))  # one row
+    return maybe.where("NOT _hit").select(*columns).unionByName(maybe.where("_hit").select(*columns).exceptAll(removed))
 
 
 def merge(nodes: DataFrame, edges: DataFrame, nodes_removed: DataFrame, nodes_added: DataFrame, edges_removed: DataFrame, edges_added: DataFrame, columns: list[str] = EDGE_COLUMNS) -> tuple[DataFrame, DataFrame]:
