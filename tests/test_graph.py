@@ -171,6 +171,20 @@ def test_god_nodes_count_without_moving_edges(spark):
     assert [(r["id"], r["degree"]) for r in graph.god_nodes(more, nodes, 3).collect()] == [("b", 3), ("a", 2), ("c", 1)]
 
 
+def test_edge_diff_counts_after_the_exchange(spark):
+    """A multiset difference, nulls alike; no task counts the edges that it reads, and none gets parts put together."""
+    from codeloom.operators import delta
+
+    schema = "source string, relation string, confidence string, target_id string, target_name string"
+    a = [("a", "calls", "EXTRACTED", "b", None)] * 3 + [("a", "calls", "EXTRACTED", None, "x")] * 2 + [(None, "calls", None, None, None)]
+    b = [("a", "calls", "EXTRACTED", "b", None)] + [("a", "calls", "EXTRACTED", None, "x")] * 4 + [("c", "calls", "EXTRACTED", "b", None)]
+    removed, added = delta.edge_diff(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema))
+    assert sorted(map(str, map(tuple, removed.collect()))) == sorted(map(str, a[:2] + a[-1:]))
+    assert sorted(map(str, map(tuple, added.collect()))) == sorted(map(str, b[1:3] + b[-1:]))
+    for side in (removed, added):
+        assert side.rdd.getNumPartitions() == 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_claims():
     assert cluster.claims([(0, 5, 2), (1, 5, 3), (0, 2, 2)], [0, 1, 2], [5, 2]) == {1: 5, 0: 2, 2: 0}
 
