@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from codeloom.plans import catalogue
+from codeloom.plans import catalogue, driver_graph
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -37,6 +37,12 @@ def test_query(spark, duck, name):
     assert canonical(got.columns, rows) == canonical(want.columns, want.fetchall())
 
 
+def test_pairs_of_lines_are_told_apart_after_the_exchange(spark):
+    """In the graph that all queries read no task holds the pairs of the lines that it reads."""
+    plan = driver_graph.edges(spark, SF).where("relation = 'implements'")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 10
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
