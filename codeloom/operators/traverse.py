@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.relations import matches
-from .checkpoints import cut
+from .checkpoints import cut, parted
+from .filters import MOST_BROADCAST
 from .retrieval import ranked, seed_scores
 
 
@@ -24,14 +25,27 @@ def _ordered(edges: DataFrame) -> list[str]:
     return ["ord"] if "ord" in edges.columns else ["relation", "target_id", "confidence"]
 
 
+def _kept(edges: DataFrame) -> DataFrame:
+    """(source, target_id) persisted in even parts, so a hop's task reads as little as the set partitions say, a hub's edges
+    in many of them; kept as they are read, a part is as large as a split of the files."""
+    return parted(edges.select("source", "target_id"), "source", "target_id").persist()
+
+
+def _step(frontier: DataFrame, pick: DataFrame) -> DataFrame:
+    """(id): where the out-edges of frontier(id, hop) lead, once each. A small frontier goes to the edges."""
+    near = frontier.select(F.col("id").alias("source"))
+    near = F.broadcast(near) if frontier.count() <= MOST_BROADCAST else near
+    return pick.join(near, "source").select(F.col("target_id").alias("id")).distinct()
+
+
 def reach(edges: DataFrame, start: str, hops: int, relations: Iterable[str] = ()) -> DataFrame:
     """(id, hop): nodes that at most hops out-edges reach, start included, with the fewest hops. Cycles are safe."""
     spark = edges.sparkSession
-    pick = edges.where(F.col("target_id").isNotNull() & matches(F.col("relation"), relations)).select("source", "target_id").persist()
+    pick = _kept(edges.where(F.col("target_id").isNotNull() & matches(F.col("relation"), relations)))
     seen = spark.createDataFrame([(start, 0)], "id string, hop int")
     frontier = seen
     for hop in range(1, hops + 1):
-        found = frontier.select(F.col("id").alias("source")).join(pick, "source").select(F.col("target_id").alias("id")).distinct()
+        found = _step(frontier, pick)
         frontier = cut(found.join(seen.select("id"), "id", "left_anti").select("id", F.lit(hop).alias("hop")))
         if frontier.isEmpty():
             break
@@ -47,12 +61,12 @@ def shortest_path(edges: DataFrame, nodes: DataFrame, source: str, target: str,
         return []
     if source == target:
         return [source]
-    pick = edges.where(F.col("target_id").isNotNull()).select("source", "target_id").persist()
+    pick = _kept(edges.where(F.col("target_id").isNotNull()))
     try:
         seen = edges.sparkSession.createDataFrame([(source, 0)], "id string, hop int")
         frontier = seen
         for hop in range(1, max_hops + 1):
-            step = frontier.select(F.col("id").alias("source")).join(pick, "source").select(F.col("target_id").alias("id")).distinct()
+            step = _step(frontier, pick)
             frontier = cut(step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(hop).alias("hop")))
             if frontier.isEmpty():
                 return []

@@ -185,6 +185,17 @@ def test_edge_diff_counts_after_the_exchange(spark):
         assert side.rdd.getNumPartitions() == 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_traversals_keep_edges_in_even_parts(spark):
+    """Edges read as one part, most of them of one hub, are kept in as many as the session sets."""
+    rows = [("hub", "calls", f"n{k}") for k in range(400)] + [("n7", "calls", "end")]
+    edges = spark.createDataFrame([(s, rel, "EXTRACTED", t, None, None) for s, rel, t in rows], EDGES).coalesce(1)
+    kept = traverse._kept(edges)
+    sizes = kept.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(sizes) < 200
+    kept.unpersist()
+    assert {r["id"]: r["hop"] for r in traverse.reach(edges, "hub", 3).collect()} == {"hub": 0, **{f"n{k}": 1 for k in range(400)}, "end": 2}
+
+
 def test_claims():
     assert cluster.claims([(0, 5, 2), (1, 5, 3), (0, 2, 2)], [0, 1, 2], [5, 2]) == {1: 5, 0: 2, 2: 0}
 
